@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import packing, simhash
+from weft.llm import packing, simhash, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
     "op2_packing": packing.op2_packing,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
