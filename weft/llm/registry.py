@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import packing, simhash, suffix_dedup
+from weft.llm import packing, simhash, suffix_dedup, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
     "op2_packing": packing.op2_packing,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
+    "op10_topk": topk.op10_topk,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_topk": topk.ORACLE_SQL}
