@@ -55,6 +55,17 @@ def is_remainder(id_col: str, modulus: int, remainder: int) -> F.Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
+def few(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most `most` rows (exactly so many, unless there are fewer or keys repeat much), in the order of a hash of `key`.
+
+    A bound on the hash is set by the row count first, so that no task hands the driver `most` rows of its own."""
+    n = rows.count()
+    h = F.xxhash64(key)
+    if n > 2 * most:
+        rows = rows.where(F.pmod(h, F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.3 * most / n)) + 1)
+    return rows.orderBy(h, key).limit(most)
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, usable: F.Column, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(text, y): at most `rows` labelled documents for which `usable` (over doc_id) holds, in an order by a hash of doc_id.
 
@@ -64,10 +75,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, usable: F.Column, r
         labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y"))
         .where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & usable)
         .dropDuplicates(["doc_id"])
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(rows)
     )
-    ids = [(r.doc_id, r.y) for r in chosen.collect()]
+    ids = [(r.doc_id, r.y) for r in few(chosen, "doc_id", rows).collect()]
     chosen = spark.createDataFrame(ids, "doc_id long, y int")
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "y")
 

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import packing, quality, simhash, suffix_dedup, topk, toxicity
+from weft.llm import packing, quality, secret_scan, simhash, suffix_dedup, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
     "op2_packing": packing.op2_packing,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_quality": quality.op5_quality,
+    "op6_secrets": secret_scan.op6_secrets,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op10_topk": topk.op10_topk,
 }
