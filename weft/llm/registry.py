@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import packing, quality, secret_scan, simhash, suffix_dedup, topk, toxicity
+from weft.llm import packing, pii, quality, secret_scan, simhash, suffix_dedup, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_quality": quality.op5_quality,
     "op6_secrets": secret_scan.op6_secrets,
+    "op7_pii": pii.op7_pii,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op10_topk": topk.op10_topk,
 }
