@@ -207,20 +207,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return link(written(fingerprints(docs, id_col, text_col), "fingerprints"), tau)
 
 
-def link(rows: DataFrame, tau: int = TAU) -> DataFrame:
-    """near_duplicates() from (doc_id, fp)."""
-    classes = written(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "fingerprint-classes")
-    pairs = written(near_pairs(classes, tau), "fingerprint-pairs")
+def classes(rows: DataFrame, tau: int = TAU) -> DataFrame:
+    """(fp, root, n_near, component_id) of each fingerprint in (doc_id, fp); root names the component."""
+    known = written(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "fingerprint-classes")
+    pairs = written(near_pairs(known, tau), "fingerprint-pairs")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.join(classes.select(F.col("fp").alias("b"), "n"), "b").groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("others"))
+    near = both.join(known.select(F.col("fp").alias("b"), "n"), "b").groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("others"))
     roots = written(components(pairs).withColumnRenamed("node", "fp"), "fingerprint-roots")
-    known = classes.join(near, "fp", "left").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = known.join(least, "root").select("fp", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"), "component_id")
-    out = join_hot(rows, written(known, "fingerprint-results"), "fp")
-    forget(pairs, classes, roots)
+    all_ = known.join(near, "fp", "left").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = all_.groupBy("root").agg(F.min("least").alias("component_id"))
+    out = written(all_.join(least, "root").select("fp", "root", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"), "component_id"), "fingerprint-results")
+    forget(known, pairs, roots)
+    return out
+
+
+def link(rows: DataFrame, tau: int = TAU) -> DataFrame:
+    """near_duplicates() from (doc_id, fp)."""
+    out = join_hot(rows, classes(rows, tau), "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "n_near", "component_id")
 
 
+def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU) -> DataFrame:
+    """The rows of docs, one of each component: that with the smallest id (null ids last), of equal ids the one with the smallest hash of the row."""
+    mark = F.xxhash64(*[F.col(c) for c in docs.columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [fingerprint(shingle_hashes(t.as_py())) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["doc_id", "mark", "fp"])
+
+    rows = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), mark.alias("mark"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, mark long, fp long"), "fingerprints")
+    rooted = join_hot(rows, classes(rows, tau).select("fp", "root"), "fp")
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("w"))
+    first = written(first.select(F.coalesce("w.doc_id", F.lit(-1)).alias("_id"), F.col("w.no_id").alias("_no_id"), F.col("w.mark").alias("_mark")), "fingerprint-winners")
+    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), "_no_id": F.col(id_col).isNull(), "_mark": mark})
+    kept = keyed.join(first, ["_id", "_no_id", "_mark"], "left_semi")
+    again = rows.select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_no_id"), F.col("mark").alias("_mark")).join(first, ["_id", "_no_id", "_mark"], "left_semi").groupBy("_id", "_no_id", "_mark").count().where("count > 1").take(1)
+    if again:  # rows that are equal in all columns
+        kept = kept.dropDuplicates(["_id", "_no_id", "_mark"])
+    return kept.select(*docs.columns)
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import forget, table, written
+from weft.llm.common import few, forget, table, written
 from weft.llm.lcp_merge import common_prefix, decode, front_code, merge
 
 LENGTH = 400
@@ -89,9 +89,18 @@ def text_anchors(texts: list[bytes], length: int = LENGTH, k: int = K) -> Iterat
     at, n = 0, len(texts)
     while at < n:
         if len(texts[at]) > BLOCK:  # in blocks that overlap, so that each window lies in one
-            text, step = texts[at], BLOCK - length + 1
+            text, step, held_row = texts[at], BLOCK - length + 1, None
             for start in range(0, len(text) - length + 1, step):
-                yield from _of_block(text[start : start + BLOCK], [at], np.array([0]), start, length, k, context)
+                for row in _of_block(text[start : start + BLOCK], [at], np.array([0]), start, length, k, context):
+                    if held_row and held_row[1] == row[1]:  # one anchor of windows in both blocks
+                        lo, hi = held_row[2], row[3]
+                        c = context(text[lo : hi + length])
+                        row = (at, row[1], lo, hi, row[4], c - (1 << 64) if c >> 63 else c)
+                    elif held_row:
+                        yield held_row
+                    held_row = row
+            if held_row:
+                yield held_row
             at += 1
             continue
         held, size, first = [], 0, at
@@ -181,7 +190,7 @@ def order(ctx: DataFrame, forward: bool) -> DataFrame:
     ranges = max(1, int(size[0]) // RANGE_BYTES)
     splitters: list[bytes] = []
     if ranges > 1:
-        sample = ctx.orderBy(F.xxhash64("id")).select("bytes", (F.col("p") - F.col("lo")).alias("at")).limit(SAMPLED).collect()  # bounded: SAMPLED contexts of under 2 * length bytes
+        sample = few(ctx.select("id", "bytes", (F.col("p") - F.col("lo")).alias("at")), "id", SAMPLED).collect()  # bounded: SAMPLED contexts of under 2 * length bytes
         keys = sorted(key_of(bytes(r.bytes), r.at, forward) for r in sample)
         splitters = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)})
     cuts = spark.sparkContext.broadcast(splitters)
@@ -347,5 +356,25 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return with_spans(rows, length, k).select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars", length: int = LENGTH, k: int = K) -> DataFrame:
+    """docs with all repeated bytes cut from the text (and characters cut in part left out), and count_col, if there, as its new length."""
+    names = docs.columns
+    rows = docs.withColumns({"_text": F.coalesce(F.col(text_col).cast("string"), F.lit("")), "_i": F.col(id_col).cast("long")})
+    rows = rows.withColumns({"_d": F.coalesce("_i", F.lit(-1)), "_th": F.xxhash64("_text", F.col("_i").isNull())})
+    spans = repeated_spans(rows.select(F.col("_d").alias("d"), F.col("_th").alias("th"), F.col("_text").alias("text")), length, k)
+    by_row = spans.groupBy(F.col("d").alias("_d"), F.col("th").alias("_th")).agg(F.collect_set(F.struct("a", "z")).alias("_spans"))
+    at = names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [kept(t, s)[0].decode("utf-8", "ignore") if s else t.decode("utf-8", "ignore") for t, s in zip(utf8(batch, text_col), batch.column("_spans").to_pylist())]
+            cols = [batch.column(c) for c in names]
+            cols[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    out = rows.drop("_text", "_i").join(by_row, ["_d", "_th"], "left").select(*names, "_spans").mapInArrow(run, docs.schema)
+    return out.withColumn(count_col, F.length(text_col).cast(dict(docs.dtypes)[count_col])) if count_col in names else out
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
