@@ -76,7 +76,7 @@ def block_keys(pages: DataFrame, depth: int = 1, min_group: int = 2, common: flo
     keyed = pages.join(own, "idx", "left").withColumn("css", F.when(F.size("distinctive") > 0, stylesheet_key(F.col("distinctive"))))
     shared = keyed.where("css is not null").groupBy("css").agg(F.count("*").alias("n")).where(F.col("n") >= min_group).select("css", F.lit(True).alias("shared"))
     path = path_key(F.col("paths"), depth)
-    return keyed.join(shared, "css", "left").withColumns({"path_key": path, "block_key": F.when("shared", F.concat(F.lit("css:"), "css")).otherwise(F.concat(F.lit("path:"), path))}).drop("shared", "css")
+    return keyed.join(shared, "css", "left").withColumns({"path_key": path, "block_key": F.when(F.col("shared"), F.concat(F.lit("css:"), "css")).otherwise(F.concat(F.lit("path:"), path))}).drop("shared", "css")
 
 
 def reassign_orphans(keyed: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import sets as S
 from weft.functions import skeleton as K
+from weft.sources.tables import written
 
 INLINE, BLOCK_SAMPLE, SALT_ROWS = 500, 100, 2_000
 ROUNDS, FINE, QUORUM, SHAPE, SHAPE_PAGES, GUARD = 10, 0.8, 0.8, 0.9, 2, 0.5
@@ -91,9 +92,9 @@ def sampled_blocks(keyed: DataFrame) -> DataFrame:
 
 def cluster_blocks(pages: DataFrame, keyed: DataFrame, cap: bool = True) -> DataFrame:
     """(idx, block_key, unit_key, tokens): pages of prepared() with the blocks of keyed."""
-    placed = sampled_blocks(keyed)
-    chrome = local_chrome(pages)
-    rows = pages.select("idx", "prepared", "tokens").join(chrome, "idx", "left").join(placed, "idx")
+    pages = written(pages, "pages-prepared")  # parsed once
+    placed = written(sampled_blocks(written(keyed.select("idx", "block_key"), "block-keys")), "block-places")
+    rows = pages.select("idx", "prepared", "tokens").join(local_chrome(pages), "idx", "left").join(placed, "idx")
     sample = rows.where("in_sample")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -104,13 +105,14 @@ def cluster_blocks(pages: DataFrame, keyed: DataFrame, cap: bool = True) -> Data
         return pd.DataFrame({"idx": group["idx"], "block_key": block, "unit_key": [unit_key(block, x) for x in labels], "tokens": [sorted(t) for t in tokens]})
 
     schema = "idx long, block_key string, unit_key string, tokens array<string>"
-    done = sample.groupBy("block_key").applyInPandas(run, schema)
-    rest = rows.where("not in_sample").withColumn("salt", F.pmod("idx", F.greatest(F.lit(1), (F.col("size") / SALT_ROWS).cast("long"))))
-    large = placed.where(F.col("size") > INLINE).select("block_key", "size").distinct()
-    models = done.join(large, "block_key").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1), (F.col("size") / SALT_ROWS).cast("long")) - 1)))
+    done = written(sample.groupBy("block_key").applyInPandas(run, schema), "block-clusters")
+    rest = rows.where("not in_sample").drop("prepared").withColumn("salt", F.pmod("idx", F.greatest(F.lit(1), (F.col("size") / SALT_ROWS).cast("long"))))
+    large = placed.where(F.col("size") > INLINE).groupBy(F.col("block_key").alias("large_key")).agg(F.max("size").alias("rows"))
+    salts = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1), (F.col("rows") / SALT_ROWS).cast("long")) - 1)
+    models = done.join(large, F.col("block_key") == F.col("large_key")).select(F.col("block_key").alias("model_key"), F.explode(salts).alias("model_salt"), "unit_key", F.col("idx").alias("member"), F.col("tokens").alias("member_tokens"))
 
     def nearest(key: tuple, group: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        members = [(k, frozenset(t)) for k, t in model.sort_values("idx")[["unit_key", "tokens"]].itertuples(index=False)]
+        members = [(k, frozenset(t)) for k, t in model.sort_values("member")[["unit_key", "member_tokens"]].itertuples(index=False)]
         out = []
         for i, tokens, local in group[["idx", "tokens", "local"]].itertuples(index=False):
             own = set(tokens) | (set(local) if local is not None else set())
@@ -118,7 +120,7 @@ def cluster_blocks(pages: DataFrame, keyed: DataFrame, cap: bool = True) -> Data
             out.append((i, key[0], members[-best[1]][0] if best else unit_key(key[0], UNASSIGNED), sorted(own)))
         return pd.DataFrame(out, columns=["idx", "block_key", "unit_key", "tokens"])
 
-    others = rest.groupBy("block_key", "salt").cogroup(models.groupBy("block_key", "salt")).applyInPandas(nearest, schema)
+    others = rest.groupBy("block_key", "salt").cogroup(models.groupBy("model_key", "model_salt")).applyInPandas(nearest, schema)
     return done.unionByName(others)
 
 
@@ -159,7 +161,7 @@ def merge_across_blocks(units: dict[str, list[set]]) -> dict[str, str]:
 
 def cluster_pages(pages: DataFrame, keyed: DataFrame, max_units: int = 2_000) -> DataFrame:
     """(idx, block_key, cluster_key, tokens). The cross-block step runs on the driver over at most BLOCK_SAMPLE pages a unit; with more than max_units units it isn't quadratic work for a driver, and keys stay those of the blocks."""
-    inside = cluster_blocks(pages, keyed).persist()
+    inside = written(cluster_blocks(pages, keyed), "page-units")
     n_units = inside.select("unit_key").distinct().limit(max_units + 1).count()
     mapping: dict[str, str] = {}
     if 1 < n_units <= max_units:

@@ -105,5 +105,5 @@ def landmark_variants(pages: DataFrame, kind: str) -> DataFrame:
         group = group.sort_values("first")
         return pd.DataFrame({"signature": group["signature"], "variant": S.structural_clusters([set(t) for t in group["tokens"]])})
 
-    named = kinds.groupBy(F.lit(1)).applyInPandas(run, "signature string, variant string")  # distinct variants, not pages
+    named = kinds.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "signature string, variant string")  # distinct variants, not pages
     return pages.select("idx").join(pick.select("idx", "signature"), "idx", "left").join(named, "signature", "left").select("idx", F.coalesce("variant", F.lit("none")).alias("variant"))
