@@ -27,7 +27,8 @@ from weft.llm.common import local_env, table
 
 SPACE = "▁"
 KEPT = 400_000
-PAIRS_KEPT = 2_000_000
+PARTS_KEPT = 600_000
+PAIRS_KEPT = 400_000
 STRETCH = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 UNKNOWN_PENALTY = 10.0
 
@@ -39,9 +40,13 @@ class Vocabulary:
         self.pieces, self.bytes_, self.unknown, self.bpe = pieces, bytes_, unknown, bpe
         self.longest = max(map(len, pieces), default=1)
         self.floor = min((s for _, s in pieces.values()), default=0.0) - UNKNOWN_PENALTY
-        self.starts = {p[:1] for p in pieces}
+        #: The score of a piece, False for what only begins one.
+        self.nodes: dict[str, float | bool] = {p[:k]: False for p in pieces for k in range(1, len(p))} | {p: float(s) for p, (_, s) in pieces.items()}
+        self.inside = {p[k : k + 2] for p in pieces for k in range(len(p) - 1)}
         self.cuts = all(SPACE not in p.lstrip(SPACE) and ("\n" not in p or p == "\n") for p in pieces)
+        self.splits = bytes_ is not None  # else unknown characters side by side are one id
         self.known: dict[str, bytes] = {}
+        self.known_parts: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
     @classmethod
@@ -85,47 +90,53 @@ class Vocabulary:
         """The pieces of the best path, sent out as soon as all surviving paths agree on them."""
         n, base = len(chars), 0
         # by position - base: (score, the piece that ends there); what lies before base is out
-        best: list[tuple[float, str] | None] = [(0.0, "")]
-        tail = ""  # the piece that ended at base
+        best: list[tuple[float, str] | None] = [None] * (n + 1 if n <= 4 * self.longest else 6 * self.longest)
+        best[0] = (0.0, "")
+        nodes, pairs, bpe = self.nodes, self.pairs, self.bpe
         check = 4 * self.longest
-        for i in range(1, n + 1):
-            found: tuple[float, str] | None = None
-            for j in range(max(base, i - self.longest), i):
-                before = best[j - base]
-                if before is None:
-                    continue
+        for j in range(n):
+            before = best[j - base]
+            if before is None:
+                continue
+            score, last = before
+            for i in range(j + 1, n + 1):
                 piece = chars[j:i]
-                hit = self.pieces.get(piece)
-                if hit is None and i - j > 1:
-                    continue
-                if self.bpe:
-                    last = before[1] if j > base else tail
-                    if self.compatible(last, piece):
-                        found = (0.0, piece)
-                        break
-                else:
-                    score = before[0] + (hit[1] if hit else self.floor)
-                    if found is None or score > found[0]:
-                        found = (score, piece)
-            best.append(found)
-            if i - base >= check and i < n:
-                at = self._meeting(best, base, i)
+                node = nodes.get(piece)
+                if node is None and i > j + 1:
+                    break
+                if node is not False:  # a piece, or a character without one
+                    held = best[i - base]
+                    if not bpe:
+                        reached = score + (self.floor if node is None else node)
+                        if held is None or reached > held[0]:
+                            best[i - base] = (reached, piece)
+                    elif held is None:
+                        fits = pairs.get((last, piece))
+                        if self.compatible(last, piece) if fits is None else fits:
+                            best[i - base] = (0.0, piece)
+                if node is None:
+                    break
+            if j - base >= check:
+                at = self._meeting(best, base, j)
                 if at > base:
-                    out = self._back(best, base, at)
-                    yield from out
-                    tail, top = out[-1], best[at - base][0]
-                    best = [x and (x[0] - top, x[1]) for x in best[at - base :]]
+                    yield from self._back(best, base, at)
+                    top = best[at - base][0]
+                    ahead = [x and (x[0] - top, x[1]) for x in best[at - base :]]
+                    best = ahead + [None] * (at - base)
                     base = at
-                check = i - base + self.longest
+                    check = 4 * self.longest
+                else:  # no agreement yet: more room
+                    best += [None] * (2 * self.longest)
+                    check += 2 * self.longest
         yield from self._back(best, base, n)
 
     def _meeting(self, best: list, base: int, front: int) -> int:
-        """The last boundary that the paths of all positions near the front share; base if there is none."""
+        """The last boundary that the paths of all open positions share; base if there is none. All positions up to the front are final, those beyond it are reached from within its last `longest`."""
         places = {p for p in range(max(base, front - self.longest + 1), front + 1) if best[p - base] is not None}
         while len(places) > 1:
             p = max(places)
             places.remove(p)
-            places.add(p - len(best[p - base][1]) if p > base else base)
+            places.add(p - len(best[p - base][1]))
             if base in places:
                 return base
         return places.pop()
@@ -139,6 +150,27 @@ class Vocabulary:
         return out[::-1]
 
     def stretch_ids(self, stretch: str) -> bytes:
+        """Ids of a stretch, by its parts: no piece crosses two neighbouring characters that no piece has side by side."""
+        inside, at, parts = self.inside, 0, []
+        if len(stretch) > 1 and self.splits:
+            for i in range(1, len(stretch)):
+                if stretch[i - 1 : i + 1] not in inside:
+                    parts.append(stretch[at:i])
+                    at = i
+        if not parts:
+            return self.part_ids(stretch)
+        parts.append(stretch[at:])
+        known = self.known_parts
+        if len(known) > PARTS_KEPT:
+            known.clear()
+        out = []
+        for p in parts:
+            if p not in known:
+                known[p] = self.part_ids(p)
+            out.append(known[p])
+        return b"".join(out)
+
+    def part_ids(self, stretch: str) -> bytes:
         ids: list[int] = []
         for piece in self.search(stretch):
             hit = self.pieces.get(piece)
