@@ -14,16 +14,21 @@ def read_stream(spark: SparkSession, path: str, files: int = 8) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
+def timed(events: DataFrame, late: str) -> DataFrame:
+    """A stream's event times as timestamps with a watermark; batches as they are."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours", slide: str | None = None) -> DataFrame:
     """Events and their values by window and type; state older than `late` goes."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = timed(events, late)
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
     out = rows.groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = timed(events, late)
     out = rows.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n", "total")
 
