@@ -84,3 +84,21 @@ def test_streams_equal_batches(spark, tmp_path):
     want = {(r.window_start, r.event_type): r.n for r in flows.windowed_counts(events).collect()}
     assert {(r.window_start, r.event_type): r.n for r in seen} == want
     assert json.dumps(sorted(str(k) for k in want))
+
+
+def test_profiles_and_merges(spark):
+    inst = lambda *t: ("nav", list(t))
+    rows = [(0, "c", [inst("a", "b")], ["t"]), (1, "c", [inst("a", "b"), inst("z")], ["t"]), (2, "c", [], ["t"]), (3, "d", [], ["t"])]
+    pages = spark.createDataFrame(rows, "idx long, cluster_key string, instances array<struct<type:string,tokens:array<string>>>, tokens array<string>")
+    got = P.landmark_profiles(pages).collect()
+    assert [(r.cluster_key, r.type, round(r.presence_rate, 3), round(r.chrome_rate, 3), r.shell_tokens, r.members_with) for r in got] == [("c", "nav", 0.667, 0.667, ["a", "b"], 2)]
+    assert {r.cluster_key for r in P.merged_partition(pages).collect()} == {"c"}
+
+
+def test_findings(spark):
+    from weft.operators import findings
+
+    result = {"url": "http://a", "timestamp": "2024-01-02T03:04:05Z", "testEngine": {"name": "e", "version": "1"}, "violations": [{"id": "x", "help": "H", "helpUrl": "U", "description": "D", "impact": "serious", "tags": ["wcag2aa", "wcag143"], "nodes": [{"html": "<a>"}, {"html": "<b>"}]}], "incomplete": []}
+    rows = findings.finding_rows(spark.createDataFrame([(json.dumps(result), "desktop")], "result string, environment string")).collect()
+    assert [(r.target, r.sc_number, r.level, r.severity, r.as_is, r.tool) for r in rows] == [(t, "1.4.3", "AA", "high", "H\n(U)\n\nD", "e (v1)") for t in ("<a>", "<b>")]
+    assert findings.devices(["mobile"]) == {"mobile": (375, 2)} and findings.retry_wait(429) == 110

@@ -122,3 +122,20 @@ def classify(node: dict, max_depth: int = MAX_DEPTH, min_area: float = MIN_AREA)
         out.append({"path": path, "depth": depth, "layoutType": kind, "confidence": sure, "tagName": at["tagName"]})
         todo += [(c, depth + 1, f"{path}/{i}") for i, c in reversed(list(enumerate(kids)))]
     return out
+
+
+def result_line(result: dict, boxes: bool = True, inner: str = "all", pretty: bool = False) -> str:
+    """A layout result as JSON; inner: HTML of all blocks, of leaves only, or none."""
+    import json
+
+    def shown(block: dict) -> dict:
+        kids = [shown(c) for c in block.get("children", [])]
+        keep = {k: block.get(k) for k in ("layoutType", "tagName", "id", "classList")}
+        if boxes:
+            keep["boundingBox"] = block.get("boundingBox")
+        if inner == "all" or inner == "leaf-only" and not kids:
+            keep["innerHTML"] = block.get("innerHTML")
+        return {**keep, "attributes": block.get("attributes") or {}, "confidence": block.get("confidence"), "signals": block.get("signals"), "children": kids}
+
+    root = result.get("root")
+    return json.dumps({**{k: result.get(k) for k in ("url", "viewport", "mainSelector")}, "root": shown(root) if root else None}, ensure_ascii=False, indent=2 if pretty else None)

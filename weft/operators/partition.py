@@ -107,3 +107,31 @@ def landmark_variants(pages: DataFrame, kind: str) -> DataFrame:
 
     named = kinds.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "signature string, variant string")  # distinct variants, not pages
     return pages.select("idx").join(pick.select("idx", "signature"), "idx", "left").join(named, "signature", "left").select("idx", F.coalesce("variant", F.lit("none")).alias("variant"))
+
+
+def landmark_profiles(pages: DataFrame) -> DataFrame:
+    """(cluster_key, type, presence_rate, chrome_rate, shell_tokens, members_with): of clustered pages with their landmark instances.
+
+    A type's shell is the tokens whose share of member pages reaches the auto-cut; an instance is chrome if 80 % of its tokens lie in it."""
+    members = pages.groupBy("cluster_key").agg(F.count("*").alias("members"))
+    seen = pages.select("cluster_key", "idx", F.posexplode("instances").alias("n", "x")).select("cluster_key", "idx", "n", "x.type", "x.tokens")
+    tokens = seen.select("cluster_key", "type", "idx", F.explode("tokens").alias("t")).distinct().groupBy("cluster_key", "type", "t").agg(F.count("*").alias("c")).join(members, "cluster_key").withColumn("f", F.col("c") / F.col("members"))
+    of = ["cluster_key", "type"]
+    levels = tokens.select(*of, "f").distinct().withColumn("below", F.lead("f").over(Window.partitionBy(*of).orderBy(F.desc("f"))))
+    gap = F.struct((F.col("f") - F.col("below")).alias("gap"), "f", "below")
+    cut = levels.groupBy(*of).agg(F.max(F.when(F.col("below").isNotNull(), gap)).alias("g")).select(*of, F.coalesce(F.least((F.col("g.f") + F.col("g.below")) / 2, F.lit(S.CHROME)), F.lit(S.CHROME)).alias("cut"))
+    shell = tokens.join(cut, of).where(F.col("f") >= F.col("cut")).select(*of, "t")
+    within = seen.select(*of, "idx", "n", F.explode("tokens").alias("t")).join(shell.withColumn("hit", F.lit(1)), [*of, "t"], "left").groupBy(*of, "idx", "n").agg((F.count("hit") / F.count("*")).alias("share"))
+    rates = within.groupBy(*of).agg(F.avg((F.col("share") >= S.CHROME).cast("double")).alias("chrome_rate"), F.countDistinct("idx").alias("members_with"))
+    named = shell.groupBy(*of).agg(F.array_sort(F.collect_list("t")).alias("shell_tokens"))
+    out = rates.join(members, "cluster_key").join(named, of, "left")
+    return out.select(*of, (F.col("members_with") / F.col("members")).alias("presence_rate"), "chrome_rate", F.coalesce("shell_tokens", F.array().cast("array<string>")).alias("shell_tokens"), "members_with")
+
+
+def merged_partition(pages: DataFrame, axis: tuple[int, list[str]] | None = None) -> DataFrame:
+    """pages with cluster keys merged where clusters share token sets or mirror each other under the axis. The mapping is of clusters."""
+    mapping = {a: b for a, b in validated_merges(cross_duplicates(pages, axis)).items() if a != b}
+    if not mapping:
+        return pages
+    merged = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+    return pages.withColumn("cluster_key", F.coalesce(merged[F.col("cluster_key")], "cluster_key"))
