@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,7 +76,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, usable: F.Column, r
     chosen = (
         labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y"))
         .where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & usable)
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id")
+        .agg(F.max("y").alias("y"))
     )
     ids = [(r.doc_id, r.y) for r in few(chosen, "doc_id", rows).collect()]
     chosen = spark.createDataFrame(ids, "doc_id long, y int")
@@ -122,6 +125,34 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return roots.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
+#: What Python workers keep from task to task, by operator: how to let go of it.
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def entering(operator: str, release: Callable[[], None] | None = None) -> None:
+    """Called where a task of an operator begins in a Python worker: a worker holds one operator's caches at a time, and memory that the last one freed goes back to the system."""
+    others = [k for k in _HELD if k != operator]
+    for k in others:
+        _HELD.pop(k)()
+    if release:
+        _HELD[operator] = release
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices, so that few texts are Python objects at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def local_env() -> None:
     """For Python workers: one thread a task."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

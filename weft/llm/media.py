@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import join_hot, table, written
+from weft.llm.common import entering, join_hot, table, written
 
 WIDTH = 64
 LEVEL = 1
@@ -107,6 +107,7 @@ def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
     kind = dict(pages.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entering("media")
         of = pa.list_(pa.struct([("position", pa.int32()), *[(k, pa.string()) for k in ("kind", "text", "ref", "caption")]]))
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sequence(t) for t in batch.column(1).to_pylist()], of)], [id_col, "items"])
@@ -184,6 +185,7 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """(doc_id, html, digest, media): each text's payload in its stored form, and a page that shows it with its byte count as caption."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entering("media")
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch, html, digests, media = whole.slice(start, 256), [], [], []
@@ -201,6 +203,7 @@ def read_back(store: DataFrame) -> DataFrame:
     """(digest, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature): of the stored bytes, one row a digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entering("media")
         for batch in batches:
             out = []
             for digest, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import local_env, table, written
+from weft.llm.common import entering, local_env, table, written
 
 SEQUENCE = 4096
 END_ID = 1
@@ -89,6 +89,10 @@ class WordTokenizer:
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
+def release() -> None:
+    _TOKENIZERS.clear()
+
+
 def tokenizer(path: str) -> WordTokenizer:
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = WordTokenizer(path)
@@ -100,6 +104,7 @@ def token_pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: i
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entering("packing", release)
         encoder = tokenizer(path)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):

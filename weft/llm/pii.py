@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import few, table
+from weft.llm.common import entering, few, table
 from weft.llm.crf import Adam, gradients, viterbi
 from weft.llm.secret_scan import Span, joined, sampled
 
@@ -234,6 +234,7 @@ def examples(text: str) -> list[tuple[str, list[int]]]:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_TEXTS) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entering("pii")
         for batch in batches:
             found = [(i, k, *e) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for k, e in enumerate(examples(t or ""))]
             cols = list(zip(*found)) or [[]] * 4
@@ -274,6 +275,7 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entering("pii")
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch, out = whole.slice(start, 512), []

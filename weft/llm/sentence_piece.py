@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import local_env, table
+from weft.llm.common import entering, local_env, table
 
 SPACE = "▁"
 KEPT = 400_000
@@ -204,6 +204,10 @@ class Vocabulary:
 _VOCABULARIES: dict[str, Vocabulary] = {}
 
 
+def release() -> None:
+    _VOCABULARIES.clear()
+
+
 def vocabulary(path: str) -> Vocabulary:
     if path not in _VOCABULARIES:
         _VOCABULARIES[path] = Vocabulary.of(path)
@@ -214,6 +218,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """(doc_id, ids binary): little-endian unsigned 32-bit ids of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entering("sentence_piece", release)
         v = vocabulary(path)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.encode(t) for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "ids"])
@@ -225,6 +230,7 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_ids, ids_crc32, text) of (doc_id, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entering("sentence_piece", release)
         v = vocabulary(path)
         for batch in batches:
             ids = batch.column(1).to_pylist()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import components, forget, join_hot, table, written
+from weft.llm.common import components, entering, forget, join_hot, table, written
 
 BITS = 64
 TAU = 2
@@ -60,6 +60,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entering("simhash")
         for batch in batches:
             fps = [fingerprint(shingle_hashes(t.as_py())) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
@@ -229,9 +230,10 @@ def link(rows: DataFrame, tau: int = TAU) -> DataFrame:
 
 def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU) -> DataFrame:
     """The rows of docs, one of each component: that with the smallest id (null ids last), of equal ids the one with the smallest hash of the row."""
-    mark = F.xxhash64(*[F.col(c) for c in docs.columns])
+    mark = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entering("simhash")
         for batch in batches:
             fps = [fingerprint(shingle_hashes(t.as_py())) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["doc_id", "mark", "fp"])
@@ -239,12 +241,12 @@ def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ta
     rows = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), mark.alias("mark"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, mark long, fp long"), "fingerprints")
     rooted = join_hot(rows, classes(rows, tau).select("fp", "root"), "fp")
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("w"))
-    first = written(first.select(F.coalesce("w.doc_id", F.lit(-1)).alias("_id"), F.col("w.no_id").alias("_no_id"), F.col("w.mark").alias("_mark")), "fingerprint-winners")
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), "_no_id": F.col(id_col).isNull(), "_mark": mark})
-    kept = keyed.join(first, ["_id", "_no_id", "_mark"], "left_semi")
-    again = rows.select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_no_id"), F.col("mark").alias("_mark")).join(first, ["_id", "_no_id", "_mark"], "left_semi").groupBy("_id", "_no_id", "_mark").count().where("count > 1").take(1)
+    first = written(first.select(F.coalesce("w.doc_id", F.lit(-1)).alias("__weft_id"), F.col("w.no_id").alias("__weft_no_id"), F.col("w.mark").alias("__weft_mark")), "fingerprint-winners")
+    keyed = docs.withColumns({"__weft_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), "__weft_no_id": F.col(id_col).isNull(), "__weft_mark": mark})
+    kept = keyed.join(first, ["__weft_id", "__weft_no_id", "__weft_mark"], "left_semi")
+    again = rows.select(F.coalesce("doc_id", F.lit(-1)).alias("__weft_id"), F.col("doc_id").isNull().alias("__weft_no_id"), F.col("mark").alias("__weft_mark")).join(first, ["__weft_id", "__weft_no_id", "__weft_mark"], "left_semi").groupBy("__weft_id", "__weft_no_id", "__weft_mark").count().where("count > 1").take(1)
     if again:  # rows that are equal in all columns
-        kept = kept.dropDuplicates(["_id", "_no_id", "_mark"])
+        kept = kept.dropDuplicates(["__weft_id", "__weft_no_id", "__weft_mark"])
     return kept.select(*docs.columns)
 
 

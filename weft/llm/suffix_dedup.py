@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import few, forget, table, written
+from weft.llm.common import entering, few, forget, sliced, table, written
 from weft.llm.lcp_merge import common_prefix, decode, front_code, merge
 
 LENGTH = 400
@@ -56,6 +56,10 @@ def _powers() -> list[np.ndarray]:
     return _POWERS
 
 
+def release() -> None:
+    _POWERS.clear()
+
+
 def block_anchors(block: bytes, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each k-byte string of a block of length..BLOCK bytes, and for each window start the place of its anchor."""
     power, inverse = _powers()
@@ -150,6 +154,7 @@ ANCHORS = _schema(("d", pa.int64()), ("th", pa.int64()), ("p", pa.int64()), ("lo
 
 def anchors(rows: DataFrame, length: int, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entering("suffix_dedup", release)
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
@@ -165,6 +170,7 @@ def contexts(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     asked = wanted.groupBy("d", "th").agg(F.collect_list(F.struct("p", "lo", "hi", "h", "n")).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entering("suffix_dedup", release)
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch, out = whole.slice(start, 256), []
@@ -261,6 +267,7 @@ def window_prints(ctx: DataFrame, length: int) -> DataFrame:
     """(d, th, s, f1, f2): a fingerprint of each window s = p - back, back in lo_back..hi_back, of the contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entering("suffix_dedup", release)
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):
                 batch = whole.slice(start, 1024)
@@ -342,6 +349,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text): one row for each row of docs. kept_text leaves out characters that were cut in part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entering("suffix_dedup", release)
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch, out = whole.slice(start, 256), []
@@ -359,20 +367,21 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars", length: int = LENGTH, k: int = K) -> DataFrame:
     """docs with all repeated bytes cut from the text (and characters cut in part left out), and count_col, if there, as its new length."""
     names = docs.columns
-    rows = docs.withColumns({"_text": F.coalesce(F.col(text_col).cast("string"), F.lit("")), "_i": F.col(id_col).cast("long")})
-    rows = rows.withColumns({"_d": F.coalesce("_i", F.lit(-1)), "_th": F.xxhash64("_text", F.col("_i").isNull())})
-    spans = repeated_spans(rows.select(F.col("_d").alias("d"), F.col("_th").alias("th"), F.col("_text").alias("text")), length, k)
-    by_row = spans.groupBy(F.col("d").alias("_d"), F.col("th").alias("_th")).agg(F.collect_set(F.struct("a", "z")).alias("_spans"))
+    rows = docs.withColumns({"__weft_text": F.coalesce(F.col(text_col).cast("string"), F.lit("")), "__weft_i": F.col(id_col).cast("long")})
+    rows = rows.withColumns({"__weft_d": F.coalesce("__weft_i", F.lit(-1)), "__weft_th": F.xxhash64("__weft_text", F.col("__weft_i").isNull())})
+    spans = repeated_spans(rows.select(F.col("__weft_d").alias("d"), F.col("__weft_th").alias("th"), F.col("__weft_text").alias("text")), length, k)
+    by_row = spans.groupBy(F.col("d").alias("__weft_d"), F.col("th").alias("__weft_th")).agg(F.collect_set(F.struct("a", "z")).alias("__weft_spans"))
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [kept(t, s)[0].decode("utf-8", "ignore") if s else t.decode("utf-8", "ignore") for t, s in zip(utf8(batch, text_col), batch.column("_spans").to_pylist())]
+        entering("suffix_dedup", release)
+        for batch in sliced(batches):
+            texts = [kept(t, s)[0].decode("utf-8", "ignore") if s else t.decode("utf-8", "ignore") for t, s in zip(utf8(batch, text_col), batch.column("__weft_spans").to_pylist())]
             cols = [batch.column(c) for c in names]
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    out = rows.drop("_text", "_i").join(by_row, ["_d", "_th"], "left").select(*names, "_spans").mapInArrow(run, docs.schema)
+    out = rows.drop("__weft_text", "__weft_i").join(by_row, ["__weft_d", "__weft_th"], "left").select(*names, "__weft_spans").mapInArrow(run, docs.schema)
     return out.withColumn(count_col, F.length(text_col).cast(dict(docs.dtypes)[count_col])) if count_col in names else out
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import SAMPLE_ROWS, forget, is_remainder, labelled, table, written
+from weft.llm.common import SAMPLE_ROWS, entering, forget, is_remainder, labelled, sliced, table, written
 
 THRESHOLD = 0.7
 #: Beginnings of words that can be learned, in characters; learned terms at most; toxic texts that must hold one.
@@ -229,9 +229,10 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by TERMS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entering("toxicity")
         m = shared.value
         matcher = Matcher(m.lexicon)
-        for batch in batches:
+        for batch in sliced(batches):
             x = np.array([matcher.features(t) for t in batch.column("_text").to_pylist()], float).reshape(-1, FEATURES)
             score = 1 / (1 + np.exp(-np.clip(x @ m.weights[:-1] + m.weights[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], [*columns, "score", "predicted"])
@@ -240,6 +241,21 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str
     return docs.select(*columns, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs that aren't predicted to be toxic, as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by TERMS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entering("toxicity")
+        m = shared.value
+        matcher = Matcher(m.lexicon)
+        for batch in sliced(batches):
+            x = np.array([matcher.features(t) for t in batch.column(text_col).to_pylist()], float).reshape(-1, FEATURES)
+            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(x @ m.weights[:-1] + m.weights[-1], -30, 30))) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def trained(spark: SparkSession, sf_dir: str, rows: int = SAMPLE_ROWS) -> Model:
     """The model of a folder's labelled documents, without those held out."""
     sample = written(labelled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", ~is_remainder("doc_id", 3, 1), rows), "toxic-sample")
