@@ -21,7 +21,7 @@ from weft.llm.common import table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.scored(docs, toxicity.trained(spark, sf_dir)).where("predicted = 0").select(*docs.columns)
+    return toxicity.accepted(docs, toxicity.trained(spark, sf_dir))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
