@@ -35,8 +35,8 @@ def test_same_rows(spark, duck, name):
     assert sorted(map(str, got)) == sorted(map(str, theirs))
 
 
-def test_page_clusters_cover_all_pages(spark):
-    rows = Q.page_clusters(spark, SF).collect()
+def test_template_clusters_cover_all_pages(spark):
+    rows = Q.template_clusters(spark, SF).collect()
     assert sorted(r.page_id for r in rows) == list(range(50))
     assert all(r.cluster_key.startswith("[") for r in rows)
 

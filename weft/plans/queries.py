@@ -367,13 +367,13 @@ def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def page_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def template_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clusters(spark, sf_dir).select(F.col("idx").alias("page_id"), "block_key", "cluster_key")
 
 
 @query()
 def cluster_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = written(_clusters(spark, sf_dir), "page-clusters")
+    found = written(_clusters(spark, sf_dir), "found-clusters")
     reasons = P.cluster_reasons(found).select("cluster_key", F.size("core_tokens").alias("core_tokens"), F.size("siblings").alias("siblings"))
     return P.cohesion(found).join(reasons, "cluster_key")
 
@@ -381,7 +381,7 @@ def cluster_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def cluster_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = page_rows(spark, sf_dir).select("idx", "paths", "stylesheetHrefs")
-    found = written(_clusters(spark, sf_dir), "page-clusters").join(pages, "idx")
+    found = written(_clusters(spark, sf_dir), "found-clusters").join(pages, "idx")
     return P.cross_duplicates(found, P.mirror_axis(pages))
 
 
