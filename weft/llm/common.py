@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.sources.tables import forget, shared_folder, written  # noqa: F401
+
 #: At most so many labelled rows are used to fit a classifier.
 SAMPLE_ROWS = 20_000
 #: A key is hot if it holds over one in so many rows; there are fewer hot keys than this.
@@ -23,35 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it in spark.checkpoint.dir; where that is unset (tests), one of our own."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        return known.rstrip("/")
-    own = f"file://{tempfile.mkdtemp(prefix='weft-')}"
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, reread: lineage ends there, and lost executors lose nothing of it."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._weft_path = path
-    return back
-
-
-def forget(*tables: DataFrame) -> None:
-    """Deletes tables of written() that are no longer read."""
-    for df in tables:
-        jvm, path = df.sparkSession._jvm, getattr(df, "_weft_path", None)
-        if path:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
-
-
 def is_remainder(id_col: str, modulus: int, remainder: int) -> F.Column:
     """Whether crc32 of the id's decimal text leaves this remainder; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus == remainder
