@@ -12,8 +12,10 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +35,21 @@ KEPT_WORDS = 600_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def byte_letters() -> dict[int, str]:
+    """For str.translate: each Latin-1 character as the letters that byte-level BPE writes for its UTF-8 bytes."""
+    shown = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+    for k, b in enumerate(b for b in range(256) if b not in shown):
+        shown[b] = chr(256 + k)
+    return {c: "".join(shown[b] for b in chr(c).encode()) for c in range(256)}
+
+
 class WordTokenizer:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes, for tokenizers that drop white space and never join across it.
 
     Ids of words are kept, so that the library sees each word once; texts in which the library's white space differs from Python's go to it whole."""
 
     odd = re.compile("[\x1c-\x1f]")
+    word = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
     tail = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]+)")
 
     def __init__(self, path: str, kept: int = KEPT_WORDS) -> None:
@@ -46,6 +57,20 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.lib, self.kept, self.known = Tokenizer.from_file(path), kept, {}
+        self.letters = byte_letters() if self.plain() else None
+
+    def plain(self) -> bool:
+        """Whether the library lower-cases, takes runs of letters as words and hands their bytes to BPE, so that words of Latin-1 letters can go to its BPE directly."""
+        config = json.loads(self.lib.to_str())
+        kinds = lambda part, of: [x["type"] for x in (config[part] or {}).get(of, [])]
+        split = (config["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        return (
+            kinds("normalizer", "normalizers") == ["NFC", "Replace", "Lowercase"]
+            and kinds("pre_tokenizer", "pretokenizers") == ["Split", "ByteLevel"]
+            and split[0]["pattern"] == {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+            and not (split[1]["add_prefix_space"] or split[1]["use_regex"])
+            and config["model"]["type"] == "BPE"
+        )
 
     def whole(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -62,11 +87,15 @@ class WordTokenizer:
                 new.update(x for x in m.groups() if x not in known)
             else:
                 new.add(w)
-        todo = list(new)
+        if self.letters:
+            bpe, letters = self.lib.model.tokenize, self.letters
+            for w in filter(self.word.fullmatch, new):
+                known[w] = array("I", [t.id for t in bpe(w.lower().translate(letters))]).tobytes()
+        todo = [w for w in new if w not in known]
         for k in range(0, len(todo), 4096):
             part = todo[k : k + 4096]
             for w, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+                known[w] = array("I", e.ids).tobytes()
         for w, (a, b) in split.items():
             known[w] = known[a] + known[b]
 
