@@ -1,7 +1,9 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
+from weft.functions import sets as S
 from weft.operators import blocking as B
 from weft.operators import clusters as C
 from weft.operators import partition as P
@@ -102,3 +104,29 @@ def test_findings(spark):
     rows = findings.finding_rows(spark.createDataFrame([(json.dumps(result), "desktop")], "result string, environment string")).collect()
     assert [(r.target, r.sc_number, r.level, r.severity, r.as_is, r.tool) for r in rows] == [(t, "1.4.3", "AA", "high", "H\n(U)\n\nD", "e (v1)") for t in ("<a>", "<b>")]
     assert findings.devices(["mobile"]) == {"mobile": (375, 2)} and findings.retry_wait(429) == 110
+
+
+def test_small_corpora_are_clustered_whole(spark):
+    # three pages of 1,200 have a template of their own, none of them among the 100 of the smallest hashes
+    pages = spark.range(1200).withColumn("r", F.expr("row_number() over (order by xxhash64(id), id)"))
+    rare = F.col("r") > 1197
+    html = F.when(rare, "<body><ul><li><a>x</a></li></ul><form><input></form></body>").otherwise("<body><p><b>x</b></p><table><tr><td>1</td></tr></table></body>")
+    pages = pages.select(F.col("id").alias("idx"), html.alias("html"), rare.alias("rare"))
+    keyed = pages.select("idx", F.lit("path:k").alias("block_key"))
+    got = C.cluster_blocks(C.prepared(pages), keyed).join(pages, "idx").groupBy("rare").agg(F.collect_set("unit_key").alias("k"), F.count("*").alias("n")).collect()
+    by = {r.rare: (set(r.k), r.n) for r in got}
+    assert by[True][1] == 3 and by[False][1] == 1197 and not by[True][0] & by[False][0]
+
+
+def test_weighted_clustering_is_that_of_all_pages():
+    draw = random.Random(5)
+    for _ in range(200):
+        base = [{x for x in "abcdefghijkl" if draw.random() < 0.6} for _ in range(6)]
+        sets = [draw.choice(base) for _ in range(draw.randrange(2, 30))]
+        whole = S.comparison_sets(sets)
+        merges = S.dendrogram(whole)
+        roots = S.labels_at(len(sets), merges, S.auto_cut([h for _, _, h in merges], S.SIMILARITY))
+        kinds = list(dict.fromkeys(map(frozenset, sets)))
+        compared = S.comparison_sets(kinds, [sets.count(k) for k in kinds])
+        got = dict(zip(kinds, S.first_seen(S.auto_cut_roots(compared, [sets.count(k) for k in kinds]))))
+        assert [got[frozenset(s)] for s in sets] == S.first_seen(roots)

@@ -10,6 +10,7 @@ import numpy as np
 EPSILON = 1e-9
 SIMILARITY, TEMPLATE_SHARE, SPLIT_FROM, CONTAINMENT, CHROME = 0.8, 0.9, 10, 0.9, 0.8
 DEPTHS, KNEE = (1, 2, 3, 4, 5, 6, 8, 10), 1.5
+TOKENS_AT_ONCE, ROWS_AT_ONCE = 1_024, 512
 
 
 def jaccard(a: frozenset | set, b: frozenset | set) -> float:
@@ -20,16 +21,23 @@ def jaccard(a: frozenset | set, b: frozenset | set) -> float:
 
 
 def similarity_matrix(sets: Sequence[frozenset | set]) -> np.ndarray:
-    """All pairs' Jaccard similarities by one product of 0/1 rows."""
+    """All pairs' Jaccard similarities by products of 0/1 rows, a slice of tokens and of rows at a time: one n x n matrix is held."""
     ids: dict[str, int] = {}
     rows = [[ids.setdefault(t, len(ids)) for t in s] for s in sets]
-    x = np.zeros((len(sets), max(1, len(ids))), np.float64)
-    for i, r in enumerate(rows):
-        x[i, r] = 1
-    both = x @ x.T
-    sizes = x.sum(1)
-    union = sizes[:, None] + sizes[None] - both
-    return np.divide(both, union, out=np.ones_like(both), where=union > 0)
+    sizes = np.array([len(r) for r in rows], np.float64)
+    at, of = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.array([i for r in rows for i in r], int)
+    out = np.zeros((len(sets), len(sets)))
+    for start in range(0, len(ids), TOKENS_AT_ONCE):
+        here = (of >= start) & (of < start + TOKENS_AT_ONCE)
+        x = np.zeros((len(sets), min(TOKENS_AT_ONCE, len(ids) - start)), np.float32)
+        x[at[here], of[here] - start] = 1
+        for i in range(0, len(sets), ROWS_AT_ONCE):
+            out[i : i + ROWS_AT_ONCE] += x[i : i + ROWS_AT_ONCE] @ x.T
+    for i in range(0, len(sets), ROWS_AT_ONCE):
+        both = out[i : i + ROWS_AT_ONCE]
+        union = sizes[i : i + ROWS_AT_ONCE, None] + sizes[None] - both
+        out[i : i + ROWS_AT_ONCE] = np.divide(both, union, out=np.ones_like(both), where=union > 0)
+    return out
 
 
 def dendrogram(sets: Sequence[frozenset | set]) -> list[tuple[int, int, float]]:
@@ -103,11 +111,25 @@ def split_by_frequency(tokens: set, frequency: Counter, pages: int, threshold: f
     return common, set(tokens) - common
 
 
-def comparison_sets(sets: Sequence[set]) -> list[set]:
-    if len(sets) < SPLIT_FROM:
+def comparison_sets(sets: Sequence[set], weights: Sequence[int] | None = None) -> list[set]:
+    """The sets' content tokens. A set with a weight stands for as many equal ones."""
+    weights = weights or [1] * len(sets)
+    if sum(weights) < SPLIT_FROM:
         return list(sets)
-    frequency = Counter(t for s in sets for t in s)
-    return [split_by_frequency(s, frequency, len(sets))[1] or s for s in sets]
+    frequency: Counter = Counter()
+    for s, w in zip(sets, weights):
+        for t in s:
+            frequency[t] += w
+    return [split_by_frequency(s, frequency, sum(weights))[1] or s for s in sets]
+
+
+def auto_cut_roots(sets: Sequence[frozenset | set], weights: Sequence[int], upper: float = SIMILARITY) -> list[int]:
+    """The roots of complete linkage at the auto-cut. Equal sets merge first, at 1, so each is clustered once, with its share of heights."""
+    ids: dict[frozenset, int] = {}
+    place = [ids.setdefault(frozenset(s), len(ids)) for s in sets]
+    merges = dendrogram(list(ids))
+    roots = labels_at(len(ids), merges, auto_cut([h for _, _, h in merges] + [1.0] * (sum(weights) - len(ids)), upper))
+    return [roots[i] for i in place]
 
 
 def contained(clusters: dict[int, tuple[set, int]], cutoff: float = CONTAINMENT) -> dict[int, int]:
@@ -209,6 +231,11 @@ def depth_cap(pages: Sequence[str], depths: Sequence[int] = DEPTHS, knee: float
 
     if not depths or list(depths) != sorted(set(depths)) or not knee > 1:
         raise ValueError("depths ascend strictly and the knee ratio is over 1")
-    counts = [len(set(structural_clusters([set(tokenize(cap_depth(p, d))[0]) for p in pages]))) for d in depths]
+    return knee_depth([[set(tokenize(cap_depth(p, d))[0]) for p in pages] for d in depths], depths, knee)
+
+
+def knee_depth(sets: Sequence[Sequence[set]], depths: Sequence[int] = DEPTHS, knee: float = KNEE) -> int:
+    """depth_cap() of the pages' token sets at each depth; equal sets share a cluster, so each counts once."""
+    counts = [len(set(structural_clusters(list(dict.fromkeys(map(frozenset, at)))))) for at in sets]
     rises = [(b / a, i) for i, (a, b) in enumerate(zip(counts, counts[1:])) if a and b / a >= knee]
     return depths[max(rises, key=lambda r: (r[0], -r[1]))[1]] if rises else depths[-1]

@@ -1,8 +1,10 @@
 """Template clusters of pages: within blocks by complete linkage, then across blocks.
 
-A block is clustered as a whole up to INLINE pages; of a larger one BLOCK_SAMPLE pages are, and the rest go to the cluster of the most
-similar sampled page. Samples are drawn in two levels of salted groups, and the rest is compared in salted groups of bounded size, so a
-block that holds most pages is never one task's. HTML is parsed once, in mapInArrow, and only token sets travel on."""
+In a corpus of up to CORPUS_INLINE pages every block is clustered as a whole. In a larger one blocks are up to INLINE pages; of a
+larger block BLOCK_SAMPLE pages are, and the rest go to the cluster of the most similar sampled page. Samples are drawn in two levels of
+salted groups, and the rest is compared in salted groups of bounded size, so a block that holds most pages is never one task's. Pages of
+a block with equal token sets (at all depths) are one weighted row before its task. HTML is parsed in mapInArrow, and only token sets
+travel on."""
 
 from __future__ import annotations
 
@@ -19,7 +21,7 @@ from weft.functions import sets as S
 from weft.functions import skeleton as K
 from weft.sources.tables import written
 
-INLINE, BLOCK_SAMPLE, SALT_ROWS = 500, 100, 2_000
+CORPUS_INLINE, INLINE, BLOCK_SAMPLE, SALT_ROWS = 20_000, 500, 100, 2_000
 ROUNDS, FINE, QUORUM, SHAPE, SHAPE_PAGES, GUARD = 10, 0.8, 0.8, 0.9, 2, 0.5
 UNASSIGNED = "cluster:unassigned"
 INSTANCE = "struct<type:string,tokens:array<string>,signature:string,startOffset:int,endOffset:int,startLine:int,startColumn:int,endLine:int,endColumn:int>"
@@ -57,23 +59,34 @@ def local_chrome(pages: DataFrame) -> DataFrame:
     return seen.join(local, "signature", "left_semi").groupBy("idx").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("local"))
 
 
-def stage_a(tokens: list[set], cap: bool, html: list[str] | None = None, local: list[set] | None = None) -> tuple[list[str], list[set]]:
-    """(label, tokens) of a block's pages in order."""
-    if cap and html and len(html) > 1 and any("main" in h for h in html):
-        depth = S.depth_cap(html)
-        tokens = [set(K.tokenize(K.cap_depth(h, depth))[0]) for h in html]
-    tokens = [t | l for t, l in zip(tokens, local or [set()] * len(tokens))]
-    compared = S.comparison_sets(tokens)
-    merges = S.dendrogram(compared)
-    roots = S.labels_at(len(tokens), merges, S.auto_cut([h for _, _, h in merges], S.SIMILARITY))
-    if len(tokens) >= S.SPLIT_FROM:
+def at_depths(rows: DataFrame) -> DataFrame:
+    """rows (idx, prepared) as (idx, capped): the tokens at each of S.DEPTHS; null without a main, where all are the page's own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            capped = [[sorted(set(K.tokenize(K.cap_depth(h, d))[0])) for d in S.DEPTHS] if "main" in h.lower() else None for h in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(capped, pa.list_(pa.list_(pa.string())))], ["idx", "capped"])
+
+    return rows.select("idx", "prepared").mapInArrow(run, "idx long, capped array<array<string>>")
+
+
+def stage_a(tokens: list[set], weights: list[int], capped: list[list[set] | None], local: list[set]) -> tuple[list[str], list[set], int | None]:
+    """(label, tokens) of a block's distinct pages in order, each standing for `weights` pages, and the depth cap where there is one."""
+    depth = None
+    if sum(weights) > 1 and any(c is not None for c in capped):
+        depth = S.knee_depth([[t if c is None else c[d] for t, c in zip(tokens, capped)] for d in range(len(S.DEPTHS))])
+        tokens = [t if c is None else c[S.DEPTHS.index(depth)] for t, c in zip(tokens, capped)]
+    tokens = [t | l for t, l in zip(tokens, local)]
+    compared = S.comparison_sets(tokens, weights)
+    roots = S.auto_cut_roots(compared, weights)
+    if sum(weights) >= S.SPLIT_FROM:
         groups: dict[int, tuple[set, int]] = {}
-        for r, t in zip(roots, compared):
+        for r, t, w in zip(roots, compared, weights):
             held, n = groups.get(r, (set(), 0))
-            groups[r] = (held | {K.collapse_anonymous(x) for x in t}, n + 1)
+            groups[r] = (held | {K.collapse_anonymous(x) for x in t}, n + w)
         into = S.contained(groups)
         roots = [into[r] for r in roots]
-    return S.first_seen(roots), tokens
+    return S.first_seen(roots), tokens, depth
 
 
 def unit_key(block: str, label: str) -> str:
@@ -81,13 +94,14 @@ def unit_key(block: str, label: str) -> str:
 
 
 def sampled_blocks(keyed: DataFrame) -> DataFrame:
-    """(idx, block_key, in_sample): whole blocks up to INLINE pages, else BLOCK_SAMPLE pages by a hash of idx."""
+    """(idx, block_key, size, in_sample): whole blocks in a corpus of up to CORPUS_INLINE pages or up to INLINE pages of their own, else BLOCK_SAMPLE pages by a hash of idx."""
+    inline = INLINE if keyed.count() > CORPUS_INLINE else CORPUS_INLINE
     sizes = keyed.groupBy("block_key").agg(F.count("*").alias("size"))
     rows = keyed.select("idx", "block_key").join(sizes, "block_key").withColumn("h", F.xxhash64("idx"))
     salted = rows.withColumn("salt", F.pmod("idx", F.greatest(F.lit(1), (F.col("size") / SALT_ROWS).cast("long"))))
-    first = salted.where(F.col("size") > INLINE).withColumn("r", F.row_number().over(Window.partitionBy("block_key", "salt").orderBy("h", "idx"))).where(F.col("r") <= BLOCK_SAMPLE)
+    first = salted.where(F.col("size") > inline).withColumn("r", F.row_number().over(Window.partitionBy("block_key", "salt").orderBy("h", "idx"))).where(F.col("r") <= BLOCK_SAMPLE)
     chosen = first.withColumn("r", F.row_number().over(Window.partitionBy("block_key").orderBy("h", "idx"))).where(F.col("r") <= BLOCK_SAMPLE).select("idx", F.lit(True).alias("chosen"))
-    return rows.join(chosen, "idx", "left").select("idx", "block_key", "size", ((F.col("size") <= INLINE) | F.coalesce("chosen", F.lit(False))).alias("in_sample"))
+    return rows.join(chosen, "idx", "left").select("idx", "block_key", "size", ((F.col("size") <= inline) | F.coalesce("chosen", F.lit(False))).alias("in_sample"))
 
 
 def cluster_blocks(pages: DataFrame, keyed: DataFrame, cap: bool = True) -> DataFrame:
@@ -96,20 +110,30 @@ def cluster_blocks(pages: DataFrame, keyed: DataFrame, cap: bool = True) -> Data
     placed = written(sampled_blocks(written(keyed.select("idx", "block_key"), "block-keys")), "block-places")
     rows = pages.select("idx", "prepared", "tokens").join(local_chrome(pages), "idx", "left").join(placed, "idx")
     sample = rows.where("in_sample")
+    if cap:
+        depths = at_depths(sample.where(F.col("size") > 1))
+        sample = sample.join(depths, "idx", "left")
+    else:
+        sample = sample.withColumn("capped", F.lit(None).cast("array<array<string>>"))
+    sets = F.struct(F.array_sort("tokens").alias("t"), F.array_sort("local").alias("l"), "capped")
+    sample = written(sample.select("idx", "block_key", "tokens", "local", "capped", F.sha2(F.to_json(sets), 256).alias("sig")), "block-samples")
+    distinct = sample.groupBy("block_key", "sig").agg(F.min("idx").alias("first"), F.count("*").alias("weight"), *[F.first(c).alias(c) for c in ("tokens", "local", "capped")])
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("idx")
+        group = group.sort_values("first")
         local = [set(x) if x is not None else set() for x in group["local"]]
-        labels, tokens = stage_a([set(t) for t in group["tokens"]], cap, list(group["prepared"]), local)
+        capped = [[set(t) for t in c] if c is not None else None for c in group["capped"]]
+        labels, tokens, depth = stage_a([set(t) for t in group["tokens"]], group["weight"].tolist(), capped, local)
         block = group["block_key"].iloc[0]
-        return pd.DataFrame({"idx": group["idx"], "block_key": block, "unit_key": [unit_key(block, x) for x in labels], "tokens": [sorted(t) for t in tokens]})
+        return pd.DataFrame({"block_key": block, "sig": group["sig"], "first": group["first"], "unit_key": [unit_key(block, x) for x in labels], "tokens": [sorted(t) for t in tokens], "depth": pd.array([depth] * len(group), "Int32")})
 
     schema = "idx long, block_key string, unit_key string, tokens array<string>"
-    done = written(sample.groupBy("block_key").applyInPandas(run, schema), "block-clusters")
+    kinds = written(distinct.groupBy("block_key").applyInPandas(run, "block_key string, sig string, first long, unit_key string, tokens array<string>, depth int"), "block-clusters")
+    done = sample.select("idx", "block_key", "sig").join(kinds, ["block_key", "sig"]).select("idx", "block_key", "unit_key", "tokens")
     rest = rows.where("not in_sample").drop("prepared").withColumn("salt", F.pmod("idx", F.greatest(F.lit(1), (F.col("size") / SALT_ROWS).cast("long"))))
-    large = placed.where(F.col("size") > INLINE).groupBy(F.col("block_key").alias("large_key")).agg(F.max("size").alias("rows"))
+    large = placed.where("not in_sample").groupBy(F.col("block_key").alias("large_key")).agg(F.max("size").alias("rows"))
     salts = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1), (F.col("rows") / SALT_ROWS).cast("long")) - 1)
-    models = done.join(large, F.col("block_key") == F.col("large_key")).select(F.col("block_key").alias("model_key"), F.explode(salts).alias("model_salt"), "unit_key", F.col("idx").alias("member"), F.col("tokens").alias("member_tokens"))
+    models = kinds.join(large, F.col("block_key") == F.col("large_key")).select(F.col("block_key").alias("model_key"), F.explode(salts).alias("model_salt"), "unit_key", F.col("first").alias("member"), F.col("tokens").alias("member_tokens"))
 
     def nearest(key: tuple, group: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         members = [(k, frozenset(t)) for k, t in model.sort_values("member")[["unit_key", "member_tokens"]].itertuples(index=False)]
