@@ -130,3 +130,22 @@ def test_weighted_clustering_is_that_of_all_pages():
         compared = S.comparison_sets(kinds, [sets.count(k) for k in kinds])
         got = dict(zip(kinds, S.first_seen(S.auto_cut_roots(compared, [sets.count(k) for k in kinds]))))
         assert [got[frozenset(s)] for s in sets] == S.first_seen(roots)
+
+
+def test_pages_outside_the_sample_have_the_blocks_depth_cap(spark, monkeypatch):
+    monkeypatch.setattr(C, "CORPUS_INLINE", 100)
+    words = "apple bread chair dance eagle flame grape house island jungle kettle lemon mango needle ocean piano queen river stone table".split()
+    draw = random.Random(3)
+
+    def page(i):
+        deep = "".join(f'<b class="{w}">x</b>' for w in draw.sample(words, 12))
+        inner = f"<div><div><div><div>{deep}</div></div></div></div>"
+        return (i, f"<body><main><section>{inner}</section></main></body>" if i % 2 else f"<body><main><article><h2>t</h2><ul><li>x</li></ul>{inner}</article></main></body>")
+
+    pages = spark.createDataFrame([page(i) for i in range(700)], "idx long, html string")
+    out = C.cluster_blocks(C.prepared(pages), pages.select("idx", F.lit("path:k").alias("block_key"))).collect()
+    assert len(out) == 700 and not {t for r in out for t in r.tokens if any(w in t for w in words)}
+    by = {}
+    for r in out:
+        by.setdefault(r.unit_key, set()).add(r.idx % 2)
+    assert all(len(v) == 1 for v in by.values()) and len(by) == 2

@@ -70,10 +70,21 @@ def at_depths(rows: DataFrame) -> DataFrame:
     return rows.select("idx", "prepared").mapInArrow(run, "idx long, capped array<array<string>>")
 
 
+def at_learned(rows: DataFrame) -> DataFrame:
+    """rows (idx, prepared, depth) as (idx, own): the tokens at the depth."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [list(dict.fromkeys(K.tokenize(K.cap_depth(h, d))[0])) for h, d in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.string()))], ["idx", "own"])
+
+    return rows.select("idx", "prepared", "depth").mapInArrow(run, "idx long, own array<string>")
+
+
 def stage_a(tokens: list[set], weights: list[int], capped: list[list[set] | None], local: list[set]) -> tuple[list[str], list[set], int | None]:
-    """(label, tokens) of a block's distinct pages in order, each standing for `weights` pages, and the depth cap where there is one."""
-    depth = None
-    if sum(weights) > 1 and any(c is not None for c in capped):
+    """(label, tokens) of a block's distinct pages in order, each standing for `weights` pages, and the depth cap, which blocks of one page have none of."""
+    depth = S.DEPTHS[-1] if sum(weights) > 1 else None
+    if depth and any(c is not None for c in capped):
         depth = S.knee_depth([[t if c is None else c[d] for t, c in zip(tokens, capped)] for d in range(len(S.DEPTHS))])
         tokens = [t if c is None else c[S.DEPTHS.index(depth)] for t, c in zip(tokens, capped)]
     tokens = [t | l for t, l in zip(tokens, local)]
@@ -130,7 +141,12 @@ def cluster_blocks(pages: DataFrame, keyed: DataFrame, cap: bool = True) -> Data
     schema = "idx long, block_key string, unit_key string, tokens array<string>"
     kinds = written(distinct.groupBy("block_key").applyInPandas(run, "block_key string, sig string, first long, unit_key string, tokens array<string>, depth int"), "block-clusters")
     done = sample.select("idx", "block_key", "sig").join(kinds, ["block_key", "sig"]).select("idx", "block_key", "unit_key", "tokens")
-    rest = rows.where("not in_sample").drop("prepared").withColumn("salt", F.pmod("idx", F.greatest(F.lit(1), (F.col("size") / SALT_ROWS).cast("long"))))
+    rest = rows.where("not in_sample")
+    if cap:
+        learned = kinds.groupBy("block_key").agg(F.max("depth").alias("depth"))
+        own = at_learned(rest.where(F.lower("prepared").contains("main")).join(learned, "block_key").where("depth is not null"))
+        rest = rest.join(own, "idx", "left").withColumn("tokens", F.coalesce("own", "tokens")).drop("own")
+    rest = rest.drop("prepared").withColumn("salt", F.pmod("idx", F.greatest(F.lit(1), (F.col("size") / SALT_ROWS).cast("long"))))
     large = placed.where("not in_sample").groupBy(F.col("block_key").alias("large_key")).agg(F.max("size").alias("rows"))
     salts = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1), (F.col("rows") / SALT_ROWS).cast("long")) - 1)
     models = kinds.join(large, F.col("block_key") == F.col("large_key")).select(F.col("block_key").alias("model_key"), F.explode(salts).alias("model_salt"), "unit_key", F.col("first").alias("member"), F.col("tokens").alias("member_tokens"))
