@@ -149,3 +149,18 @@ def test_pages_outside_the_sample_have_the_blocks_depth_cap(spark, monkeypatch):
     for r in out:
         by.setdefault(r.unit_key, set()).add(r.idx % 2)
     assert all(len(v) == 1 for v in by.values()) and len(by) == 2
+
+
+def test_merge_counts_all_members_of_a_unit(spark):
+    # 10 of 12 pages of block a have block b's tokens; the two that don't are the first ones of their ids modulo 64
+    rows = [(64 * i, "a", ["p>q", "p>r"] if i >= 2 else ["z>y"]) for i in range(12)] + [(7, "b", ["p>q", "p>r"])]
+    inside = spark.createDataFrame(rows, "idx long, unit_key string, tokens array<string>")
+    got = {r.unit_key: (r.n, {x.t: x.c for x in r.counts}) for r in C.tallied(inside).collect()}
+    assert got == {"a": (12, {"p>q": 10, "p>r": 10, "z>y": 2}), "b": (1, {"p>q": 1, "p>r": 1})}
+
+
+def test_merge_sees_pages_with_ids_of_one_remainder(spark, monkeypatch):
+    rows = [(64 * i, "a", ["p>q", "p>r"] if i >= 2 else ["z>y"]) for i in range(12)] + [(7, "b", ["p>q", "p>r"])]
+    inside = spark.createDataFrame([(i, k, k, t) for i, k, t in rows], "idx long, block_key string, unit_key string, tokens array<string>")
+    monkeypatch.setattr(C, "cluster_blocks", lambda pages, keyed: inside)
+    assert {r.cluster_key for r in C.cluster_pages(None, None).collect()} == {"a"}

@@ -164,53 +164,62 @@ def cluster_blocks(pages: DataFrame, keyed: DataFrame, cap: bool = True) -> Data
     return done.unionByName(others)
 
 
-def quorum_core(members: list[set], share: float = QUORUM) -> set:
-    count = Counter(t for m in members for t in m)
-    return {t for t, n in count.items() if n >= share * len(members) - S.EPSILON}
+def quorum_core(count: Counter, members: int, share: float = QUORUM) -> set:
+    """The tokens that so many of the members have."""
+    return {t for t, n in count.items() if n >= share * members - S.EPSILON}
 
 
 def merge_across_blocks(units: dict[str, list[set]]) -> dict[str, str]:
-    """Unit to the unit that stands for it. units: in first-seen order, each with at most BLOCK_SAMPLE members' tokens.
+    """merge_counted() of units given by their members' tokens."""
+    return merge_counted({k: (Counter(t for m in members for t in m), len(members)) for k, members in units.items()})
+
+
+def merge_counted(units: dict[str, tuple[Counter, int]]) -> dict[str, str]:
+    """Unit to the unit that stands for it. units: in first-seen order, each with its tokens' counts of members and its members.
 
     Rounds until nothing changes: complete linkage of the quorum cores, containment, and shape similarity of units with several pages;
-    a merge needs class-stripped cores that agree by GUARD. The lower unit survives."""
+    a merge needs class-stripped cores that agree by GUARD. The lower unit survives, and counts add up, so no member is left out."""
     keys = list(units)
     root = {k: k for k in keys}
-    members = dict(units)
+    place = {k: i for i, k in enumerate(keys)}
+    counts, members = {k: c for k, (c, _) in units.items()}, {k: n for k, (_, n) in units.items()}
     for _ in range(ROUNDS):
         live = [k for k in keys if root[k] == k]
-        cores = [quorum_core(members[k]) for k in live]
+        cores = [quorum_core(counts[k], members[k]) for k in live]
         shapes = [{K.shape(t) for t in c} for c in cores]
         proposals = [(a, b) for a, b, h in S.dendrogram(cores) if h >= FINE - S.EPSILON]
-        into = S.contained({i: (c, len(members[k])) for i, (k, c) in enumerate(zip(live, cores))})
+        into = S.contained({i: (c, members[k]) for i, (k, c) in enumerate(zip(live, cores))})
         proposals += [(i, j) for i, j in into.items() if i != j]
-        several = [i for i, k in enumerate(live) if len(members[k]) >= SHAPE_PAGES]
+        several = [i for i, k in enumerate(live) if members[k] >= SHAPE_PAGES]
         proposals += [(i, j) for n, i in enumerate(several) for j in several[n + 1 :] if S.jaccard(shapes[i], shapes[j]) >= SHAPE]
         changed = False
         for i, j in proposals:
             a, b = S.root_of(root, live[i]), S.root_of(root, live[j])
             if a != b and S.jaccard(shapes[i], shapes[j]) >= GUARD:
-                a, b = sorted((a, b), key=keys.index)
+                a, b = sorted((a, b), key=place.__getitem__)
                 root[b] = a
-                members[a] = (members[a] + members[b])[:BLOCK_SAMPLE]
+                counts[a], members[a] = counts[a] + counts[b], members[a] + members[b]
                 changed = True
         if not changed:
             break
     return {k: S.root_of(root, k) for k in keys}
 
 
+def tallied(inside: DataFrame) -> DataFrame:
+    """(unit_key, n, first, counts): each unit's members, its first, and how many of them have each token, over all members."""
+    sizes = inside.groupBy("unit_key").agg(F.count("*").alias("n"), F.min("idx").alias("first"))
+    counts = inside.select("unit_key", F.explode(F.array_distinct("tokens")).alias("t")).groupBy("unit_key", "t").agg(F.count("*").alias("c"))
+    return sizes.join(counts.groupBy("unit_key").agg(F.collect_list(F.struct("t", "c")).alias("counts")), "unit_key", "left")
+
+
 def cluster_pages(pages: DataFrame, keyed: DataFrame, max_units: int = 2_000) -> DataFrame:
-    """(idx, block_key, cluster_key, tokens). The cross-block step runs on the driver over at most BLOCK_SAMPLE pages a unit; with more than max_units units it isn't quadratic work for a driver, and keys stay those of the blocks."""
+    """(idx, block_key, cluster_key, tokens). The cross-block step runs on the driver over the units' token counts; with more than max_units units it isn't quadratic work for a driver, and keys stay those of the blocks."""
     inside = written(cluster_blocks(pages, keyed), "page-units")
     n_units = inside.select("unit_key").distinct().limit(max_units + 1).count()
     mapping: dict[str, str] = {}
     if 1 < n_units <= max_units:
-        sample = inside.withColumn("r", F.row_number().over(Window.partitionBy("unit_key", F.pmod("idx", F.lit(64))).orderBy("idx"))).where("r <= 2")
-        sample = sample.withColumn("r", F.row_number().over(Window.partitionBy("unit_key").orderBy("idx"))).where(F.col("r") <= BLOCK_SAMPLE)
-        units: dict[str, list[set]] = {}
-        for r in sample.orderBy("idx").toLocalIterator():
-            units.setdefault(r.unit_key, []).append(set(r.tokens))
-        mapping = {k: v for k, v in merge_across_blocks(units).items() if k != v}
+        units = {r.unit_key: (Counter({x.t: x.c for x in r.counts or []}), r.n) for r in tallied(inside).orderBy("first").toLocalIterator()}
+        mapping = {k: v for k, v in merge_counted(units).items() if k != v}
     key = F.col("unit_key")
     if mapping:
         key = F.coalesce(F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])[F.col("unit_key")], key)
