@@ -164,3 +164,30 @@ def test_merge_sees_pages_with_ids_of_one_remainder(spark, monkeypatch):
     inside = spark.createDataFrame([(i, k, k, t) for i, k, t in rows], "idx long, block_key string, unit_key string, tokens array<string>")
     monkeypatch.setattr(C, "cluster_blocks", lambda pages, keyed: inside)
     assert {r.cluster_key for r in C.cluster_pages(None, None).collect()} == {"a"}
+
+
+def random_units(draw, n):
+    """Units of pages from a few templates with tokens lost and added, some with equal pages."""
+    heads = [[f"body>{a}.k{i}>{b}" for i in range(9) for b in "pq"] for a in ("main", "div", "ul", "div")]
+    units = {}
+    for u in range(n):
+        base = draw.choice(heads)
+        core = [t for t in base if draw.random() > draw.choice((0, 0.05, 0.3))] + [f"body>x{u % 7}"] * (draw.random() < 0.3)
+        units[f"u{u:03}"] = [{t for t in core if draw.random() > draw.choice((0, 0.1))} for _ in range(draw.choice((1, 1, 2, 5)))]
+    return units
+
+
+def test_merge_in_spark_is_that_on_the_driver(spark):
+    for seed in range(3):
+        units = random_units(random.Random(seed), 40)
+        rows = [(100 * n + i, k, sorted(t)) for n, (k, pages) in enumerate(units.items()) for i, t in enumerate(pages)]
+        tallies = C.tallied(spark.createDataFrame(rows, "idx long, unit_key string, tokens array<string>"))
+        got = {r.unit_key: r.root for r in C.merge_many(C.written(tallies, "tallies")).collect()}
+        want = C.merge_across_blocks(units)
+        assert got == want and 1 < len(set(want.values())) < 40
+
+
+def test_more_units_than_the_driver_takes_still_merge(spark, monkeypatch):
+    inside = spark.createDataFrame([(i, f"b{i}", f"b{i}", ["p>q", f"p>r{i % 2}"]) for i in range(6)], "idx long, block_key string, unit_key string, tokens array<string>")
+    monkeypatch.setattr(C, "cluster_blocks", lambda pages, keyed: inside)
+    assert {(r.idx % 2, r.cluster_key) for r in C.cluster_pages(None, None, max_units=2).collect()} == {(0, "b0"), (1, "b1")}

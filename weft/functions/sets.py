@@ -42,10 +42,12 @@ def similarity_matrix(sets: Sequence[frozenset | set]) -> np.ndarray:
 
 def dendrogram(sets: Sequence[frozenset | set]) -> list[tuple[int, int, float]]:
     """(survivor, dead, height) of complete linkage by nearest-neighbour chains; ties go to the lower index."""
-    n = len(sets)
-    if n < 2:
-        return []
-    s = similarity_matrix(sets)
+    return linkage(similarity_matrix(sets)) if len(sets) > 1 else []
+
+
+def linkage(s: np.ndarray) -> list[tuple[int, int, float]]:
+    """dendrogram() of a similarity matrix, which is overwritten."""
+    n = len(s)
     np.fill_diagonal(s, -np.inf)
     alive, chain, out = np.ones(n, bool), [], []
     while len(out) < n - 1:
@@ -147,6 +149,11 @@ def contained(clusters: dict[int, tuple[set, int]], cutoff: float = CONTAINMENT)
                     best = (rank, y)
         if best:
             into[x] = best[1]
+    return followed(into, {c: (len(t), n) for c, (t, n) in clusters.items()})
+
+
+def followed(into: dict[int, int], clusters: dict[int, tuple[int, int]]) -> dict[int, int]:
+    """Each of the clusters (tokens, pages) to the end of its chain; a cycle ends at its largest."""
     done: dict[int, int] = {}
     for start in clusters:
         path, at = [], start
@@ -157,7 +164,7 @@ def contained(clusters: dict[int, tuple[set, int]], cutoff: float = CONTAINMENT)
             end = done[at]
         elif at in path:  # a cycle
             loop = path[path.index(at) :]
-            end = max(loop, key=lambda c: (len(clusters[c][0]), clusters[c][1]))
+            end = max(loop, key=lambda c: clusters[c])
         else:
             end = at
         done.update(dict.fromkeys([*path, at], end))

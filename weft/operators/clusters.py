@@ -12,9 +12,10 @@ import json
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from weft.functions import sets as S
@@ -212,14 +213,121 @@ def tallied(inside: DataFrame) -> DataFrame:
     return sizes.join(counts.groupBy("unit_key").agg(F.collect_list(F.struct("t", "c")).alias("counts")), "unit_key", "left")
 
 
+def with_shapes(groups: DataFrame) -> DataFrame:
+    """groups (…, core) with their cores' shapes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shapes = [sorted({K.shape(t) for t in c}) for c in batch.column("core").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shapes, pa.list_(pa.string()))], [*batch.schema.names, "shapes"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in groups.schema.fields)
+    return groups.mapInArrow(run, f"{schema}, shapes array<string>")
+
+
+def likely_pairs(sets: DataFrame, share: float) -> DataFrame:
+    """(x, y) of sets (id, items): all pairs where y holds at least `share` of x's items. y then has one of x's rarest 1 - share and one more."""
+    items = sets.select("id", F.size("items").alias("size"), F.explode("items").alias("t"))
+    df = items.groupBy("t").agg(F.count("*").alias("df"))
+    ranked = items.join(df, "t").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("df", "t")))
+    prefix = ranked.where(F.col("r") <= F.col("size") - F.ceil(share * F.col("size") - S.EPSILON) + 1).select(F.col("id").alias("x"), "t", F.col("size").alias("size_x"))
+    others = items.select(F.col("id").alias("y"), "t", F.col("size").alias("size_y"))
+    return prefix.join(others, "t").where(f"x != y and size_y >= {share} * size_x - {S.EPSILON}").select("x", "y").distinct()
+
+
+def compared_pairs(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """(x, y, core_both, shape_both) of pairs of groups."""
+    x, y = (groups.select(F.col("id").alias(k), F.col("core").alias(f"core_{k}"), F.col("shapes").alias(f"shapes_{k}")) for k in "xy")
+    both = [F.size(F.array_intersect(f"{c}_x", f"{c}_y")).alias(f"{c}_both") for c in ("core", "shapes")]
+    return pairs.join(x, "x").join(y, "y").select("x", "y", *both)
+
+
+def proposals_of(groups: dict[int, Row], edges: dict[tuple[int, int], Row]) -> set[tuple[int, int]]:
+    """A round's pairs of groups of equal cores by complete linkage and containment. Similarities under FINE matter to neither, so linkage is done by connected parts."""
+    parent = {g: g for g in groups}
+    close, best = {}, {}
+    for (x, y), e in edges.items():
+        a, b = groups[x], groups[y]
+        h = e.core_both / (a.size + b.size - e.core_both)
+        if h >= FINE - S.EPSILON:
+            close[min(x, y), max(x, y)] = h
+            parent[max(S.root_of(parent, x), S.root_of(parent, y))] = min(S.root_of(parent, x), S.root_of(parent, y))
+        # of several equal cores each is the others' best unless a larger core holds them whole
+        ratio = e.core_both / a.size
+        if ratio >= (1 if a.units > 1 else S.CONTAINMENT):
+            rank = (ratio, a.size + b.size - e.core_both, b.most, -b.most_first)
+            if x not in best or rank > best[x][0]:
+                best[x] = (rank, y)
+    parts: dict[int, list[int]] = {}
+    for g in sorted({i for pair in close for i in pair}):
+        parts.setdefault(S.root_of(parent, g), []).append(g)
+    of = {g: (p, i) for p, part in parts.items() for i, g in enumerate(part)}
+    links: dict[int, list] = {}
+    for (x, y), h in close.items():
+        links.setdefault(of[x][0], []).append((of[x][1], of[y][1], h))
+    out = set()
+    for p, part in parts.items():
+        s = np.zeros((len(part), len(part)))
+        for i, j, h in links[p]:
+            s[i, j] = s[j, i] = h
+        out |= {(part[i], part[j]) for i, j, h in S.linkage(s) if h >= FINE - S.EPSILON}
+    into = S.followed({x: y for x, (_, y) in best.items()}, {g: (r.size, r.most) for g, r in groups.items()})
+    return out | {(i, j) for i, j in into.items() if i != j}
+
+
+def merge_many(tallies: DataFrame) -> DataFrame:
+    """(unit_key, root) as merge_counted() has them, of tallied(): token sets stay in Spark, which joins equal cores and finds the pairs
+    that may merge by their rarest tokens; the driver sees numbers of distinct cores and of these pairs alone."""
+    spark = tallies.sparkSession
+    units = tallies.select("unit_key", F.col("first").alias("id"), "n", "counts")
+    roots = written(units.select("unit_key", F.col("id").alias("root")), "unit-roots")
+    for _ in range(ROUNDS):
+        core = F.array_sort(F.transform(F.filter(F.coalesce("counts", F.array().cast("array<struct<t:string,c:bigint>>")), lambda x: x.c >= QUORUM * F.col("n") - S.EPSILON), lambda x: x.t))
+        cores = written(units.select("id", "n", core.alias("core")).withColumn("sig", F.sha2(F.to_json("core"), 256)), "unit-cores")
+        most = F.max(F.struct("n", (-F.col("id")).alias("first")))
+        groups = cores.groupBy("sig").agg(F.min("id").alias("id"), F.count("*").alias("units"), most.alias("m"), F.first("core").alias("core"))
+        groups = written(with_shapes(groups.select("id", "units", F.col("m.n").alias("most"), (-F.col("m.first")).alias("most_first"), "sig", "core")), "core-groups")
+        numbers = {r.id: r for r in groups.select("id", "units", "most", "most_first", F.size("core").alias("size")).orderBy("id").toLocalIterator()}
+        pairs = compared_pairs(likely_pairs(groups.select("id", F.col("core").alias("items")), FINE), groups)
+        edges = {(r.x, r.y): r for r in pairs.toLocalIterator()}
+        wanted = proposals_of(numbers, edges)
+        # the guard: shapes of the proposed pairs
+        sizes = groups.select(F.col("id"), F.size("shapes").alias("n"))
+        asked = spark.createDataFrame(sorted(wanted), "x long, y long")
+        guarded = compared_pairs(asked, groups).join(sizes.toDF("x", "n_x"), "x").join(sizes.toDF("y", "n_y"), "y")
+        union = F.col("n_x") + F.col("n_y") - F.col("shapes_both")
+        kept = guarded.where((union == 0) | (F.col("shapes_both") >= GUARD * union)).select("x", "y")
+        # shapes of groups with several pages: equal ones are a star, others meet by their rarest
+        shaped = groups.where(F.col("most") >= SHAPE_PAGES).groupBy("shapes").agg(F.collect_list("id").alias("ids"), F.min("id").alias("id"))
+        shaped = written(shaped, "shape-groups")
+        stars = shaped.select(F.col("id").alias("x"), F.explode("ids").alias("y")).where("x != y")
+        like = likely_pairs(shaped.select("id", F.col("shapes").alias("items")), SHAPE).join(shaped.select(F.col("id").alias("x"), F.col("shapes").alias("a")), "x").join(shaped.select(F.col("id").alias("y"), F.col("shapes").alias("b")), "y")
+        like = like.where(F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b")) >= SHAPE).select("x", "y")
+        parent = {g: g for g in numbers}
+        for r in kept.unionByName(stars).unionByName(like).toLocalIterator():
+            a, b = sorted((S.root_of(parent, r.x), S.root_of(parent, r.y)))
+            parent[b] = a
+        moves = [(g, S.root_of(parent, g)) for g in numbers]
+        if all(a == b for a, b in moves) and all(r.units == 1 for r in numbers.values()):
+            break
+        to = spark.createDataFrame(moves, "group long, into long")
+        step = written(cores.select(F.col("id").alias("was"), "sig").join(groups.select("sig", F.col("id").alias("group")), "sig").join(to, "group").select("was", "into"), "unit-moves")
+        roots = written(roots.join(step, F.col("root") == F.col("was")).select("unit_key", F.col("into").alias("root")), "unit-roots")
+        moved = units.join(step, F.col("id") == F.col("was"))
+        counts = moved.select("into", F.explode("counts").alias("x")).groupBy("into", F.col("x.t").alias("t")).agg(F.sum("x.c").alias("c")).groupBy("into").agg(F.collect_list(F.struct("t", "c")).alias("counts"))
+        units = written(moved.groupBy("into").agg(F.sum("n").alias("n")).join(counts, "into", "left").select(F.col("into").alias("id"), "n", "counts"), "unit-tallies")
+    names = tallies.select(F.col("first").alias("root"), F.col("unit_key").alias("root_key"))
+    return roots.join(names, "root").select("unit_key", F.col("root_key").alias("root"))
+
+
 def cluster_pages(pages: DataFrame, keyed: DataFrame, max_units: int = 2_000) -> DataFrame:
-    """(idx, block_key, cluster_key, tokens). The cross-block step runs on the driver over the units' token counts; with more than max_units units it isn't quadratic work for a driver, and keys stay those of the blocks."""
+    """(idx, block_key, cluster_key, tokens). The cross-block step runs on the driver over the units' token counts up to max_units units, and with the same result in Spark beyond."""
     inside = written(cluster_blocks(pages, keyed), "page-units")
-    n_units = inside.select("unit_key").distinct().limit(max_units + 1).count()
-    mapping: dict[str, str] = {}
-    if 1 < n_units <= max_units:
-        units = {r.unit_key: (Counter({x.t: x.c for x in r.counts or []}), r.n) for r in tallied(inside).orderBy("first").toLocalIterator()}
-        mapping = {k: v for k, v in merge_counted(units).items() if k != v}
+    tallies = written(tallied(inside), "unit-tallies")
+    if tallies.count() > max_units:
+        return inside.join(merge_many(tallies), "unit_key").select("idx", "block_key", F.col("root").alias("cluster_key"), "tokens")
+    units = {r.unit_key: (Counter({x.t: x.c for x in r.counts or []}), r.n) for r in tallies.orderBy("first").toLocalIterator()}
+    mapping = {k: v for k, v in merge_counted(units).items() if k != v}
     key = F.col("unit_key")
     if mapping:
         key = F.coalesce(F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])[F.col("unit_key")], key)
