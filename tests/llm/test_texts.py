@@ -171,6 +171,16 @@ def test_pii_patterns(spark):
         assert (got[i].spans, got[i].base_sha256) == (joined, hashlib.sha256(joined.encode()).hexdigest())
 
 
+def test_network_phones_need_no_plus():
+    class Reader:
+        def spans(self, texts):
+            return [[(m.start(), m.end(), "phone") for m in re.finditer(r"[(0-9][()0-9 -]+[0-9]", t)] for t in texts]
+
+    text = "call (555) 123-4567 or 555-123-4568 ext, not 555-1234 or 1234 5678 9012 3456"
+    ((base, found),) = pii.all_spans([text], Reader())
+    assert base == [] and [text[a:z] for a, z, k in found if k == "model_phone"] == ["(555) 123-4567", "555-123-4568"]
+
+
 def test_pii_network():
     draw = random.Random(14)
     line = lambda: f"word er th +1 ({draw.randint(200, 999)}) 555-{draw.randint(1000, 9999)} the on {draw.randint(1, 255)}.{draw.randint(1, 255)}.{draw.randint(1, 255)}.{draw.randint(1, 255)} in 12 ab{draw.randint(1, 9)}"

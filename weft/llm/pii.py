@@ -4,7 +4,7 @@ The patterns (e-mail, IP address, card, phone) always stand. The network is trai
 SAMPLE_TEXTS texts. Every span of these kinds holds a digit or an @; characters further than REACH from one have the tag outside
 alone, so the network reads the stretches around them, whole texts' worth of them, and nothing else. A stretch is read in overlapping
 windows; the windows' emissions are averaged where they overlap and one Viterbi pass over the stretch reconciles them. Spans of the
-network that touch no pattern's and hold what their kind needs (digits enough, Luhn, an @) are added, under the kinds model_email, model_ip, model_card and model_phone.
+network that touch no pattern's, have LEAST characters and hold what their kind needs (digits enough, Luhn, an @) are added, under the kinds model_email, model_ip, model_card and model_phone.
 
 Spans are in code points, end exclusive. Defined cases: a null or empty text has no span; rows with equal ids are rows of their own;
 other columns are ignored; an empty table gives an empty result, and nothing to train on gives a network that tags nothing.
@@ -257,7 +257,7 @@ def plausible(text: str, kind: str) -> bool:
         return len(parts) == 4 and all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in parts)
     if kind == "card":
         return 14 <= len(digits) <= 19 and luhn(digits)
-    return 10 <= len(digits) <= 15 and "+" in text
+    return 10 <= len(digits) <= 15
 
 
 def all_spans(texts: list[str], model: Model) -> list[tuple[list[Span], list[Span]]]:
