@@ -7,21 +7,33 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; where that is unset (tests), one of our own."""
+    """The folder the cluster names in spark.checkpoint.dir; where that is unset, one of our own, which a single machine (tests) allows alone."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
     own = f"file://{tempfile.mkdtemp(prefix='weft-')}"
     spark.conf.set("spark.checkpoint.dir", own)
     return own
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, reread: lineage ends there, and lost executors lose nothing of it."""
+    """df as a Parquet table in the shared folder, reread: lineage ends there, and lost executors lose nothing of it.
+
+    The write's own shuffle files go when it ends, instead of when the driver happens to collect its garbage."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._weft_path = path
     return back
