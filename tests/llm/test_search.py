@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import xxhash
@@ -126,6 +128,60 @@ def test_cut_repeats_keeps_columns(spark):
     assert out.columns == docs.columns and {(r.doc_id, r.text, r.n_chars) for r in out.collect()} == {(1, "x", 1), (2, "z", 1), (3, "", 0)}
 
 
+def brute_passages(texts, words):
+    """Of each text: maximal runs and bytes in passages of so many words that another text holds, and the text without them."""
+    split = [list(re.finditer(rb"[^ \t\n\r\v\f]+", t)) for t in texts]
+    holders = {}
+    for i, ws in enumerate(split):
+        for s in range(len(ws) - words + 1):
+            holders.setdefault(tuple(w[0] for w in ws[s : s + words]), set()).add((i, texts[i]))
+    out = []
+    for i, ws in enumerate(split):
+        cover = [False] * len(ws)
+        for s in range(len(ws) - words + 1):
+            if len(holders[tuple(w[0] for w in ws[s : s + words])]) > 1:
+                cover[s : s + words] = [True] * words
+        runs = [list(g) for on, g in groupby(range(len(ws)), cover.__getitem__) if on]
+        spans = [(ws[r[0]].start(), ws[r[-1]].end()) for r in runs]
+        out.append((len(spans), sum(z - a for a, z in spans), suffix_dedup.cut(texts[i], spans).decode()))
+    return out
+
+
+def test_passages_against_brute_force(spark):
+    for seed in range(4):
+        draw = random.Random(seed)
+        word = lambda: "".join(draw.choice("abcé") for _ in range(draw.randint(1, 4)))
+        bits = [[word() for _ in range(draw.randint(2, 14))] for _ in range(14)]
+        texts = []
+        for _ in range(45):
+            ws = [w for _ in range(draw.randint(0, 7)) for w in draw.choice(bits)]
+            texts.append("".join(w + draw.choice([" ", "\n", "  "]) for w in ws))
+        texts += [texts[3] + "end", " ".join([*bits[0], *bits[1]] * 6 + ["only here", "q"]), None]
+        for words in (7, 12):
+            want = brute_passages([(t or "").encode() for t in texts], words)
+            docs = table_of(spark, texts).withColumn("n_chars", F.lit(0))
+            got = suffix_dedup.without_repeats(docs, length=40, k=8, words=words).orderBy("doc_id").collect()
+            assert [(r.n_passages, r.passage_bytes) for r in got] == [w[:2] for w in want]
+            cut = suffix_dedup.cut_passages(docs, words=words)
+            assert cut.columns == docs.columns and [(r.text, r.n_chars) for r in cut.orderBy("doc_id").collect()] == [(w[2], len(w[2])) for w in want]
+
+
+def test_words_repeated_in_one_document_stay(spark):
+    ws = [f"w{i}" for i in range(60)]
+    other = [f"o{i}" for i in range(80)]
+    texts = [" ".join(ws * 3 + ["x"] + ws), " ".join(other), " ".join(["y", *other, "z"])]
+    got = suffix_dedup.cut_passages(table_of(spark, texts)).orderBy("doc_id").collect()
+    assert [r.text for r in got] == [texts[0], "", "y  z"]
+
+
+def test_word_codes_over_a_block():
+    draw = random.Random(9)
+    text = bytes(draw.choices(b"abcdefgh   \n", k=suffix_dedup.BLOCK + 54321)) + b"q" * (suffix_dedup.BLOCK + 7) + b" end"
+    whole = suffix_dedup._coded(text)[0].tobytes()
+    assert suffix_dedup.word_codes([b"", text, b"a b", b" "])[1] == whole and len(whole) == 8 * len(text.split())
+    assert [len(x) for x in suffix_dedup.word_codes([b"", b"a b", b" ", b"c"])] == [0, 16, 0, 8]
+
+
 def test_merge_of_runs():
     for seed in range(60):
         draw, runs, strings = random.Random(seed), [], []
