@@ -5,7 +5,7 @@ but the last return the columns of documents:
 
 - toxicity drops the documents that the clause grammar, trained on the folder's labels, rejects;
 - near_dedup keeps one document of each group of linked SimHash fingerprints, that with the smallest id;
-- suffix_dedup cuts every byte of a 400-byte string that occurs elsewhere from the text, all occurrences, and keeps the row;
+- suffix_dedup cuts passages of over 50 words that another document holds too from the text, all occurrences, and keeps the row;
 - secrets masks the spans found, trained on the documents it is given;
 - packing tokenises the rest and returns the pieces with their places (see weft.llm.packing).
 
@@ -29,7 +29,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffix_dedup.cut_repeats(docs)
+    return suffix_dedup.cut_passages(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
