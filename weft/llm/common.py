@@ -42,7 +42,8 @@ def few(rows: DataFrame, key: str, most: int) -> DataFrame:
 def labelled(docs: DataFrame, labels: DataFrame, label: str, usable: F.Column, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(text, y): at most `rows` labelled documents for which `usable` (over doc_id) holds, in an order by a hash of doc_id.
 
-    The chosen ids are bounded by `rows`, so they are broadcast and the texts aren't shuffled. Null labels and null ids are left out."""
+    The chosen ids are bounded by `rows`, so they are broadcast and texts without them aren't shuffled; of documents with one id the one
+    with the least hash counts, so the result is bounded too. Null labels and null ids are left out."""
     spark = docs.sparkSession
     chosen = (
         labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y"))
@@ -52,7 +53,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, usable: F.Column, r
     )
     ids = [(r.doc_id, r.y) for r in few(chosen, "doc_id", rows).collect()]
     chosen = spark.createDataFrame(ids, "doc_id long, y int")
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "y")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("text", "y"), F.xxhash64("text")).alias("x")).select("x.text", "x.y")
 
 
 def join_hot(rows: DataFrame, unique: DataFrame, key: str, how: str = "left") -> DataFrame:

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 from weft.llm.common import entering, join_hot, table, written
 
+#: Digests that a task remembers to have stored.
+REMEMBERED = 100_000
 WIDTH = 64
 LEVEL = 1
 SCHEME = "sha256:"
@@ -116,10 +118,12 @@ def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
 
 
 def resolved(seqs: DataFrame, store: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """(id_col, position, kind, caption, digest, and the store's other columns): every reference with its payload's row. store: one row a digest."""
+    """(id_col, position, kind, caption, digest, and the store's other columns): every reference with its payload's row. store: one row a digest.
+
+    The references are written first, so that pages are parsed once for the counts and the join."""
     items = seqs.select(id_col, F.explode("items").alias("item")).where("item.ref is not null")
     refs = items.select(id_col, "item.position", "item.kind", "item.caption", F.when(F.col("item.ref").startswith(SCHEME), F.substring("item.ref", len(SCHEME) + 1, 64)).otherwise(F.col("item.ref")).alias("digest"))
-    return join_hot(refs, store, "digest")
+    return join_hot(written(refs, "media-references"), store, "digest")
 
 
 def chunk(kind: bytes, data: bytes) -> bytes:
@@ -182,17 +186,22 @@ def described(samples: np.ndarray) -> str:
 
 
 def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, html, digest, media): each text's payload in its stored form, and a page that shows it with its byte count as caption."""
+    """(doc_id, html, digest, media): each text's payload in its stored form, and a page that shows it with its byte count as caption. A task stores a digest once (media is null where it comes again)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entering("media")
+        there: set[str] = set()
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch, html, digests, media = whole.slice(start, 256), [], [], []
                 for text in batch.column(1).to_pylist():
                     payload, n = padded(text)
-                    media.append(encode_png(payload))
-                    digests.append(hashlib.sha256(media[-1]).hexdigest())
+                    image = encode_png(payload)
+                    digests.append(hashlib.sha256(image).hexdigest())
+                    media.append(None if digests[-1] in there else image)
+                    there.add(digests[-1])
+                    if len(there) > REMEMBERED:
+                        there.clear()
                     html.append(f'<figure><img src="{SCHEME}{digests[-1]}" alt="{escape("text as samples")}"><figcaption>{n}</figcaption></figure>')
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(html, pa.string()), pa.array(digests, pa.string()), pa.array(media, pa.binary())], ["doc_id", "html", "digest", "media"])
 
@@ -215,7 +224,7 @@ def read_back(store: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     schema = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return store.select("digest", "media").mapInArrow(run, schema).dropDuplicates(["digest"])
+    return store.where("media is not null").select("digest", "media").mapInArrow(run, schema).dropDuplicates(["digest"])
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

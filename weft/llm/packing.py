@@ -193,20 +193,24 @@ def best_fit(histogram: dict[int, int], sequence: int = SEQUENCE) -> list[tuple[
     return slots
 
 
+#: A column of written pieces that spreads rows alike in all else (copies without an id, say) over the rank's buckets.
+SALT = "_salt"
+
+
 def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     """pieces (a table that rereads alike, with a column length of 1..sequence) with sequence_id and offset."""
     spark = pieces.sparkSession
     by_length = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `sequence` rows
     if not by_length:
-        return pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+        return pieces.drop(SALT).withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
     slots = np.array(sorted(best_fit(by_length, sequence)), np.int64)
     buckets = max(1, sum(by_length.values()) // BUCKET_ROWS)
-    rows = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    names = [c for c in pieces.columns if c != SALT]
+    rows = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", *[SALT] * (SALT in pieces.columns)), F.lit(buckets)).cast("int"))
     counts = rows.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     before = counts.select("length", "_bucket", (F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("_n")).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = rows.withColumn("_rank", rank.cast("long")).join(before, ["length", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
-    names = pieces.columns
     plan = spark.sparkContext.broadcast(slots)  # bounded by the sequence length, whatever the number of documents
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +221,7 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
             slot = of[np.searchsorted(at, length * (1 << 44) + rank, "right") - 1]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(slot[:, 3] + rank - slot[:, 1]), pa.array(slot[:, 4])], [*names, "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name != SALT) + ", sequence_id long, offset long"
     return ranked.select(*names, "_rank").mapInArrow(place, schema)
 
 
@@ -227,7 +231,8 @@ def packed(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE) -
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
-    return pack(written(token_pieces(docs, str(path), sequence), "pieces"), sequence)
+    pieces = token_pieces(docs, str(path), sequence).withColumn(SALT, F.pmod(F.monotonically_increasing_id(), F.lit(1024)).cast("int"))
+    return pack(written(pieces, "pieces"), sequence)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,22 @@
 """Personal data in text: fixed patterns, and a character-level bidirectional LSTM with CRF transitions for what they miss.
 
 The patterns (e-mail, IP address, card, phone) always stand. The network is trained in numpy on the patterns' spans in at most
-SAMPLE_TEXTS texts. Every span of these kinds holds a digit or an @; characters further than REACH from one have the tag outside
+SAMPLE_TEXTS texts, and on variants of these: the same places written as the patterns don't know them (VARIANTS of a text). The fit
+is bounded: WINDOWS_A_TEXT windows of a text, WINDOWS in all; scans are not. Every span of these kinds holds a digit or an @; characters further than REACH from one have the tag outside
 alone, so the network reads the stretches around them, whole texts' worth of them, and nothing else. A stretch is read in overlapping
 windows; the windows' emissions are averaged where they overlap and one Viterbi pass over the stretch reconciles them. Spans of the
 network that touch no pattern's, have LEAST characters and hold what their kind needs (digits enough, Luhn, an @) are added, under the kinds model_email, model_ip, model_card and model_phone.
 
 Spans are in code points, end exclusive. Defined cases: a null or empty text has no span; rows with equal ids are rows of their own;
-other columns are ignored; an empty table gives an empty result, and nothing to train on gives a network that tags nothing.
+a text of any length is read whole; other columns are ignored; an empty table gives an empty result, and nothing to train on gives a network that tags nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,9 +30,9 @@ from weft.llm.crf import Adam, gradients, viterbi
 from weft.llm.secret_scan import Span, joined, sampled
 
 SAMPLE_TEXTS = 20_000
-WINDOWS = 2_000
+WINDOWS, WINDOWS_A_TEXT, VARIANTS = 4_000, 40, 3
 REACH, WINDOW, STRIDE = 24, 64, 32
-EMBED, HIDDEN, STEPS, BATCH = 8, 16, 120, 128
+EMBED, HIDDEN, STEPS, BATCH = 8, 16, 240, 128
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, *(f"model_{k}" for k in BASE))
 TAGS = 1 + 2 * len(BASE)  # outside, then begin and inside of each kind
@@ -222,14 +225,45 @@ def fit(data: list[tuple[str, list[int]]]) -> Model:
     return model
 
 
+def rewritten(text: str, kind: str, draw: random.Random) -> str:
+    """One item as the patterns don't know it."""
+    digits = "".join(c for c in text if "0" <= c <= "9")
+    if kind == "email":
+        name, _, host = text.partition("@")
+        return draw.choice((f"{name} @ {host}", f"{name}(@){host}", f"{name}@{host.split('.')[0]}", f"{name} @{host}"))
+    if kind == "ip":
+        return draw.choice((" . ", "[.]", "(.)", ". ")).join(text.split("."))
+    if kind == "card":
+        return draw.choice((".", "_", "/", " - ", "  ")).join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    a, b, c = digits[-10:-7], digits[-7:-4], digits[-4:]
+    return draw.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{digits[:-10]} {a} {b} {c}", f"({a}) {b} {c}", f"{a} {b} {c}"))
+
+
+def variants(text: str, seed: int = 0) -> list[tuple[str, Span]]:
+    """The text with a pattern's span rewritten, and where that stands."""
+    out, draw = [], random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass")) + seed)
+    for a, z, k in base_spans(text)[:VARIANTS]:
+        new = rewritten(text[a:z], k, draw)
+        out.append((text[:a] + new + text[z:], (a, a + len(new), k)))
+    return out
+
+
 def examples(text: str) -> list[tuple[str, list[int]]]:
-    """Windows of the text's stretches with the tags of the patterns' spans; a window of one stretch in two, as in reading."""
+    """Windows of the text's stretches with the tags of the patterns' spans, and those of the variants' stretches."""
+    out = _examples(text, base_spans(text))
+    for other, span in variants(text):
+        out += _examples(other, [span, *base_spans(other)], span)
+    return out
+
+
+def _examples(text: str, spans: list[Span], near: Span | None = None) -> list[tuple[str, list[int]]]:
     tags = [0] * len(text)
-    for a, z, k in base_spans(text):
+    for a, z, k in spans:
         if not any(tags[a:z]):
             b = 1 + 2 * BASE.index(k)
             tags[a:z] = [b] + [b + 1] * (z - a - 1)
-    return [(text[a:z], tags[a:z]) for s in stretches(text)[:20] for a, z in windows(*s)[:2]]
+    read = [s for s in stretches(text) if near is None or s[0] < near[1] and near[0] < s[1]]
+    return [(text[a:z], tags[a:z]) for s in read for a, z in windows(*s)][:WINDOWS_A_TEXT]
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_TEXTS) -> Model:
@@ -262,16 +296,21 @@ def plausible(text: str, kind: str) -> bool:
 
 def all_spans(texts: list[str], model: Model) -> list[tuple[list[Span], list[Span]]]:
     """Of each text the patterns' spans, and these with the network's."""
+    return [x[:2] for x in found_spans(texts, model)]
+
+
+def found_spans(texts: list[str], model: Model) -> list[tuple[list[Span], list[Span], int]]:
+    """Of each text the patterns' spans, these with the network's, and how many spans the network finds, with those of the patterns."""
     out = []
     for text, found in zip(texts, model.spans(texts)):
         base = base_spans(text)
         more = [(a, z, f"model_{k}") for a, z, k in found if z - a >= LEAST and plausible(text[a:z], k) and not any(s < z and a < e for s, e, _ in base)]
-        out.append((base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))))
+        out.append((base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2]))), len(found)))
     return out
 
 
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans): one row for each row of docs."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_model): one row for each row of docs. n_model: spans that the network finds by itself, the patterns' among them."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,14 +318,14 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch, out = whole.slice(start, 512), []
-                for base, spans in all_spans([t or "" for t in batch.column(1).to_pylist()], shared.value):
+                for base, spans, n in found_spans([t or "" for t in batch.column(1).to_pylist()], shared.value):
                     kinds = [k for _, _, k in base]
-                    out.append((*map(kinds.count, BASE), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
-                cols = list(zip(*out)) or [[]] * 6
-                types = (pa.int64(),) * 4 + (pa.string(),) * 2
-                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, types)]], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                    out.append((*map(kinds.count, BASE), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), n))
+                cols = list(zip(*out)) or [[]] * 7
+                types = (*(pa.int64(),) * 4, pa.string(), pa.string(), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, types)]], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_model"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_model long")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
