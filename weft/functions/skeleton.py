@@ -15,7 +15,7 @@ OPAQUE = frozenset(("script", "style", "noscript", "svg"))
 LANDMARKS = ("header", "footer", "nav", "aside", "form", "search")
 BY_TAG = {t: t for t in ("header", "footer", "nav", "aside", "search", "main")}
 BY_ROLE = {"banner": "header", "contentinfo": "footer", "navigation": "nav", "complementary": "aside", "form": "form", "search": "search", "main": "main"}
-#: Class names that build tools generate.
+#: Class names that bundlers generate.
 NOISE = [
     re.compile(r"_[a-z0-9]{5,}", re.I),
     re.compile(r"sc-(?=[a-zA-Z0-9]*[A-Z0-9])[a-zA-Z0-9]{5,}"),

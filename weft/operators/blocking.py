@@ -1,12 +1,15 @@
 """Blocking keys of pages from their paths and stylesheets. Only (idx, host, paths, stylesheetHrefs) is read, never the HTML.
 
-Everything is built-in expressions and equi-joins; what is counted is counted with map-side combine."""
+Everything is built-in expressions and equi-joins; what is counted is counted with map-side combine. resolve_blocks() writes the narrow
+rows once after each step that the next reads several times."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.sources.tables import written
+
 EPSILON = 1e-9
 MAX_AUTO_DEPTH, AUTO_FROM_PAGES = 5, 20
 REASSIGNED = "orphan-merge:"
@@ -42,10 +45,9 @@ def dominant_host(pages: DataFrame) -> DataFrame:
 
 def first_party(pages: DataFrame) -> DataFrame:
     """Keeps stylesheet hrefs of the page's own host, else of the dominant one; with neither known, all that are URLs."""
-    whole = pages.crossJoin(F.broadcast(dominant_host(pages)))  # one row
-    own = F.coalesce(F.lower("host"), "dominant")
-    kept = F.filter("stylesheetHrefs", lambda h: own.isNull() | (url_host(h) == own))
-    return whole.withColumn("stylesheetHrefs", kept).drop("dominant")
+    dominant = (dominant_host(pages).first() or [None])[0]
+    own = F.coalesce(F.lower("host"), F.lit(dominant).cast("string"))
+    return pages.withColumn("stylesheetHrefs", F.filter("stylesheetHrefs", lambda h: own.isNull() | (url_host(h) == own)))
 
 
 def auto_path_depth(pages: DataFrame, cut) -> int:
@@ -68,12 +70,12 @@ def block_keys(pages: DataFrame, depth: int = 1, min_group: int = 2, common: flo
     """pages with block_key: css:… where at least min_group pages share their distinctive stylesheets, else path:…; and the distinctive hrefs."""
     if min_group < 2 or not 0 < common <= 1:
         raise ValueError("a css group has two pages or more, and the common share lies in (0, 1]")
-    hrefs = pages.select("idx", F.explode(F.array_distinct("stylesheetHrefs")).alias("href"))
-    with_any = pages.where(F.size("stylesheetHrefs") > 0).agg(F.count("*").alias("total"))
-    frequency = hrefs.groupBy("href").agg(F.count("*").alias("df")).crossJoin(F.broadcast(with_any))  # one row
-    rare = frequency.where(F.col("df") < common * F.col("total") - EPSILON).select("href")
-    own = hrefs.join(rare, "href").groupBy("idx").agg(F.array_sort(F.collect_list("href")).alias("distinctive"))
-    keyed = pages.join(own, "idx", "left").withColumn("css", F.when(F.size("distinctive") > 0, stylesheet_key(F.col("distinctive"))))
+    hrefs = pages.select(F.explode(F.array_distinct("stylesheetHrefs")).alias("href"))
+    total = pages.where(F.size("stylesheetHrefs") > 0).count()
+    # at most (sheets a page) / common of them
+    usual = [r.href for r in hrefs.groupBy("href").agg(F.count("*").alias("df")).where(F.col("df") >= common * total - EPSILON).select("href").collect()]
+    own = F.array_sort(F.array_except(F.array_distinct("stylesheetHrefs"), F.array(*map(F.lit, usual)).cast("array<string>")))
+    keyed = pages.withColumn("distinctive", F.when(F.size(own) > 0, own)).withColumn("css", F.when(F.size("distinctive") > 0, stylesheet_key(F.col("distinctive"))))
     shared = keyed.where("css is not null").groupBy("css").agg(F.count("*").alias("n")).where(F.col("n") >= min_group).select("css", F.lit(True).alias("shared"))
     path = path_key(F.col("paths"), depth)
     return keyed.join(shared, "css", "left").withColumns({"path_key": path, "block_key": F.when(F.col("shared"), F.concat(F.lit("css:"), "css")).otherwise(F.concat(F.lit("path:"), path))}).drop("shared", "css")
@@ -97,4 +99,5 @@ def blocking_reason() -> Column:
 
 def resolve_blocks(pages: DataFrame, depth: int = 1) -> DataFrame:
     """First-party filter, keys, orphans: (idx, block_key, reason and the inputs)."""
-    return reassign_orphans(block_keys(first_party(pages), depth)).withColumn("reason", blocking_reason())
+    kept = written(first_party(pages), "pages-first-party")
+    return reassign_orphans(written(block_keys(kept, depth), "pages-keyed")).withColumn("reason", blocking_reason())

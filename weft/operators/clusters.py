@@ -52,7 +52,8 @@ def local_chrome(pages: DataFrame) -> DataFrame:
     seen = pages.select("idx", F.explode("instances").alias("x")).select("idx", "x.signature", "x.tokens")
     share = seen.groupBy("signature").agg(F.countDistinct("idx").alias("n")).crossJoin(F.broadcast(pages.agg(F.count("*").alias("total"))))  # one row
     share = share.withColumn("f", F.col("n") / F.col("total"))
-    # the widest gap between neighbouring shares in descending order, over distinct shares: equal ones have no gap
+    # the widest gap between neighbouring shares in descending order, over distinct shares: equal ones have no gap. One task orders
+    # them; n instances have at most sqrt(2 n) distinct counts
     levels = share.select("f").distinct().withColumn("next", F.lead("f").over(Window.orderBy(F.desc("f"))))
     many = share.agg(F.count("*").alias("signatures"))
     cut = levels.agg(F.max(F.struct((F.col("f") - F.col("next")).alias("gap"), "f", "next")).alias("g")).crossJoin(many).select(F.when((F.col("signatures") > 1) & (F.col("g.gap") > 0), F.least((F.col("g.f") + F.col("g.next")) / 2, F.lit(S.CHROME))).otherwise(S.CHROME).alias("cut"))

@@ -59,14 +59,16 @@ def cohesion(pages: DataFrame) -> DataFrame:
 def cross_duplicates(pages: DataFrame, axis: tuple[int, list[str]] | None = None, threshold: float = CORROBORATED) -> DataFrame:
     """(cluster_key_a, cluster_key_b, similarity, corroborated): clusters that share a token set, or mirror pages under the axis.
 
-    Equal sets meet as (signature, cluster) pairs, not as pages; mirror pages meet on their normalised path and hrefs."""
+    Equal sets meet as (signature, cluster) pairs, not as pages; of mirror pages, which meet on their normalised path and hrefs, a cluster
+    has one row for each token set."""
     signature = F.sha2(F.to_json(F.array_sort(F.array_distinct("tokens"))), 256)
     rows = pages.where(F.size("tokens") > 0).select("cluster_key", signature.alias("sig")).distinct()
     same = rows.alias("a").join(rows.alias("b"), (F.col("a.sig") == F.col("b.sig")) & (F.col("a.cluster_key") < F.col("b.cluster_key")))
     out = same.select(F.col("a.cluster_key").alias("cluster_key_a"), F.col("b.cluster_key").alias("cluster_key_b"), F.lit(1.0).alias("similarity"), F.lit(False).alias("corroborated")).distinct()
     if axis:
         hrefs = F.sha2(F.to_json(F.array_sort(F.array_distinct(F.transform("stylesheetHrefs", lambda h: normalized_href(h, axis))))), 256)
-        m = pages.select("cluster_key", "tokens", normalized_path(F.col("paths"), axis).alias("path"), hrefs.alias("hrefs"))
+        m = pages.select("cluster_key", "tokens", normalized_path(F.col("paths"), axis).alias("path"), hrefs.alias("hrefs"), signature.alias("sig"))
+        m = m.groupBy("cluster_key", "path", "hrefs", "sig").agg(F.first("tokens").alias("tokens"))
         pair = m.alias("a").join(m.alias("b"), (F.col("a.path") == F.col("b.path")) & (F.col("a.hrefs") == F.col("b.hrefs")) & (F.col("a.cluster_key") < F.col("b.cluster_key")))
         close = pair.select(F.col("a.cluster_key").alias("cluster_key_a"), F.col("b.cluster_key").alias("cluster_key_b"), set_similarity(F.col("a.tokens"), F.col("b.tokens")).alias("similarity"), F.lit(True).alias("corroborated"))
         out = out.unionByName(close.where(F.col("similarity") >= threshold))
@@ -88,8 +90,9 @@ def cluster_reasons(pages: DataFrame) -> DataFrame:
     counts = pages.select("cluster_key", F.explode(F.array_distinct("tokens")).alias("t")).groupBy("cluster_key", "t").count()
     core = counts.join(sizes, "cluster_key").where(F.col("count") >= 0.8 * F.col("pages") - S.EPSILON).groupBy("cluster_key").agg(F.array_sort(F.collect_list("t")).alias("core_tokens"))
     of = pages.select("cluster_key", "block_key").distinct()
-    sib = of.alias("a").join(of.alias("b"), (F.col("a.block_key") == F.col("b.block_key")) & (F.col("a.cluster_key") != F.col("b.cluster_key")))
-    sib = sib.groupBy(F.col("a.cluster_key").alias("cluster_key")).agg(F.array_sort(F.collect_set("b.cluster_key")).alias("siblings"))
+    mates = of.groupBy("block_key").agg(F.collect_set("cluster_key").alias("mates"))  # clusters, once a block; not pairs of them
+    own = F.array(F.col("cluster_key"))
+    sib = of.join(mates, "block_key").groupBy("cluster_key").agg(F.array_distinct(F.flatten(F.collect_list("mates"))).alias("all")).select("cluster_key", F.array_sort(F.array_except("all", own)).alias("siblings"))
     empty = F.array().cast("array<string>")
     return sizes.join(core, "cluster_key", "left").join(sib, "cluster_key", "left").withColumns({"core_tokens": F.coalesce("core_tokens", empty), "siblings": F.coalesce("siblings", empty)})
 

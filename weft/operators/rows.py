@@ -60,7 +60,8 @@ def split_by_frequency(rows: DataFrame, key: str, tokens: Column, threshold: flo
 def auto_cut(values: DataFrame, value: str, upper: float) -> DataFrame:
     """One row: the middle of the widest gap between neighbouring values, at most `upper`; `upper` if there is no gap.
 
-    Equal values leave no gap, so neighbours are found among distinct ones; the list is of distinct shares."""
+    Equal values leave no gap, so neighbours are found among distinct ones. One task orders these: shares of a total of n have counts that
+    add up to n, so there are at most sqrt(2 n) distinct ones."""
     levels = values.select(F.col(value).cast("double").alias("v")).distinct()
     gaps = levels.withColumn("next", F.lead("v").over(Window.orderBy(F.desc("v")))).where("next is not null")
     best = gaps.agg(F.max(F.struct((F.col("v") - F.col("next")).alias("gap"), "v", "next")).alias("b"))
