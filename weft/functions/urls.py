@@ -13,8 +13,8 @@ from weft.functions.sorting import decode_uri, numerical
 
 SEPARATOR = ":::"
 EXTENSIONS = {
-    "text/html": ".html", "application/xhtml+xml": ".xhtml", "text/css": ".css", "text/javascript": ".js", "application/javascript": ".js", "application/json": ".json", "application/xml": ".xml", "text/xml": ".xml", "text/plain": ".txt", "image/jpeg": ".jpg", "image/png": ".png", "image/gif": ".gif", "image/webp": ".webp",
-    "image/svg+xml": ".svg", "image/x-icon": ".ico", "font/woff": ".woff", "font/woff2": ".woff2", "font/ttf": ".ttf", "application/pdf": ".pdf", "application/zip": ".zip",
+    "text/html": ".html", "text/css": ".css", "text/javascript": ".js", "application/javascript": ".js", "application/json": ".json", "application/xml": ".xml", "text/xml": ".xml", "image/jpeg": ".jpg", "image/png": ".png", "image/gif": ".gif", "image/webp": ".webp",
+    "image/svg+xml": ".svg", "image/x-icon": ".ico", "font/woff": ".woff", "font/woff2": ".woff2", "font/ttf": ".ttf", "font/otf": ".otf", "application/font-woff": ".woff", "application/x-font-ttf": ".ttf", "application/x-font-otf": ".otf",
 }
 
 # --- columns -----------------------------------------------------------------------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions import sets as S
+from weft.sources.tables import written
 
 COHESION_SAMPLE, SUSPICIOUS, CORROBORATED, MIN_SKELETONS, MAX_POSITION = 40, 0.75, 0.8, 3, 3
 
@@ -76,12 +77,27 @@ def cross_duplicates(pages: DataFrame, axis: tuple[int, list[str]] | None = None
 
 
 def validated_merges(duplicates: DataFrame) -> dict[str, str]:
-    """Cluster to the smallest key of those it merges with, by pairs that are equal or corroborated. The list is of clusters, not pages."""
-    parent: dict[str, str] = {}
-    for r in duplicates.where("similarity = 1 or corroborated").toLocalIterator():
-        a, b = (S.root_of(parent, parent.setdefault(k, k) and k) for k in (r.cluster_key_a, r.cluster_key_b))
-        parent[max(a, b)] = min(a, b)
-    return {k: S.root_of(parent, k) for k in parent}
+    """merged_keys() as a dictionary, for few clusters."""
+    return {r.cluster_key: r.root for r in merged_keys(duplicates).toLocalIterator()}
+
+
+def merged_keys(duplicates: DataFrame) -> DataFrame:
+    """(cluster_key, root): clusters that merge with others, by pairs that are equal or corroborated, and the smallest key of their group.
+
+    Labels spread along the pairs, both ways, until they stay: a round is a join and a minimum over pairs of clusters."""
+    pairs = duplicates.where("similarity = 1 or corroborated").select(F.col("cluster_key_a").alias("a"), F.col("cluster_key_b").alias("b"))
+    pairs = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "merging-pairs")
+    roots = written(pairs.groupBy(F.col("a").alias("cluster_key")).agg(F.least(F.min("a"), F.min("b")).alias("root")), "merged-keys")
+    while True:
+        # a neighbour's root, and the root's own root: paths halve
+        near = pairs.join(roots.withColumnRenamed("cluster_key", "b"), "b").groupBy(F.col("a").alias("cluster_key")).agg(F.min("root").alias("near"))
+        up = roots.select(F.col("cluster_key").alias("root"), F.col("root").alias("up"))
+        stepped = roots.join(near, "cluster_key").join(up, "root", "left").select("cluster_key", F.least("root", "near", "up").alias("to"), "root")
+        stepped = written(stepped, "merged-keys")
+        moved = bool(stepped.where("to != root").take(1))
+        roots = stepped.select("cluster_key", F.col("to").alias("root"))
+        if not moved:
+            return roots
 
 
 def cluster_reasons(pages: DataFrame) -> DataFrame:
@@ -131,10 +147,7 @@ def landmark_profiles(pages: DataFrame) -> DataFrame:
     return out.select(*of, (F.col("members_with") / F.col("members")).alias("presence_rate"), "chrome_rate", F.coalesce("shell_tokens", F.array().cast("array<string>")).alias("shell_tokens"), "members_with")
 
 
-def merged_partition(pages: DataFrame, axis: tuple[int, list[str]] | None = None) -> DataFrame:
-    """pages with cluster keys merged where clusters share token sets or mirror each other under the axis. The mapping is of clusters."""
-    mapping = {a: b for a, b in validated_merges(cross_duplicates(pages, axis)).items() if a != b}
-    if not mapping:
-        return pages
-    merged = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
-    return pages.withColumn("cluster_key", F.coalesce(merged[F.col("cluster_key")], "cluster_key"))
+def merged_partition(pages: DataFrame, axis: tuple[int, list[str]] | None = None, threshold: float = CORROBORATED) -> DataFrame:
+    """pages with cluster keys merged where clusters share token sets or mirror each other under the axis."""
+    roots = merged_keys(cross_duplicates(pages, axis, threshold))
+    return pages.join(roots, "cluster_key", "left").withColumn("cluster_key", F.coalesce("root", "cluster_key")).select(*pages.columns)

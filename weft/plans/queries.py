@@ -388,3 +388,6 @@ def cluster_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def landmark_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.landmark_variants(written(_tokens(spark, sf_dir), "pages-prepared"), "nav").select(F.col("idx").alias("page_id"), "variant")
+
+
+from weft.plans import functions  # noqa: E402, F401  (registers its queries)
