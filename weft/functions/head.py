@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 
+from weft.functions import keys as K
 from weft.functions.sax import VOID, Handler, parse
 
 LD_ENTRY, LD_TOTAL = 200_000, 1_000_000
@@ -12,11 +13,10 @@ STRUCTURED = frozenset(("application/ld+json", "speculationrules", "application/
 ROBOTS = frozenset("index noindex follow nofollow none all noarchive nosnippet noimageindex nocache notranslate noodp noydir indexifembedded".split())
 MAIN = ("main", "[role=main]", "#main", ".main", "#content", ".content", "#contents", ".contents", "#main-content", ".main-content", "#main_content", ".main_content", "#mainContent", ".mainContent")
 PARTS = (("id", "main"), ("class", "main"), ("id", "content"), ("class", "content"))
-#: Where a key's value goes, as a dotted path; a star marks keys that collect all their values.
-NAMES = {k: k.replace("-", "_") for k in "description author generator viewport robots referrer keywords rating copyright application-name theme-color color-scheme format-detection google-site-verification msvalidate.01 yandex-verification p:domain_verify publisher creator subject language revisit-after distribution".split()}
-PROPERTIES = {"og:" + k: "og." + k.replace(":", ".") for k in "title type url description site_name locale determiner".split()} | {"og:image": "og.image*", "og:video": "og.video*", "og:audio": "og.audio*", "og:locale:alternate": "og.locale_alternate*", "article:tag": "article.tag*", "article:author": "article.author*"} | {f"article:{k}": f"article.{k}" for k in ("published_time", "modified_time", "section")} | {f"fb:{k}": f"fb.{k}" for k in ("app_id", "pages")}
-TWITTER = {f"twitter:{k}": f"twitter.{k.replace(':', '.')}" for k in "card site creator title description image image:alt url domain".split()}
-EQUIV = {"refresh": "http_equiv.refresh", "content-type": "http_equiv.content_type", "content-security-policy": "http_equiv.csp*", "x-ua-compatible": "http_equiv.ua", "content-language": "http_equiv.language", "cache-control": "http_equiv.cache", "pragma": "http_equiv.pragma", "expires": "http_equiv.expires"}
+#: Names with a parser of their own stand at the top of the record.
+NAMES = {k: k.replace("-", "_") for k in ("viewport", "robots", "referrer", "format-detection")} | K.NAMES
+TWITTER = {k: v for k, v in K.NAMES.items() if k.startswith("twitter:")}
+FLAGS = frozenset(("pinterest.rich_pin", "pinterest.nopin"))
 SINGLE_REL = {"canonical": "canonical", "amphtml": "amphtml", "manifest": "manifest", "shortlink": "shortlink", "next": "next", "prev": "prev", "license": "license", "author": "author_link", "search": "search", "pingback": "pingback"}
 MANY_REL = {"icon": "icons", "shortcut": "icons", "apple-touch-icon": "apple_icons", "alternate": "alternates", "stylesheet": "stylesheets", "preload": "preload", "prefetch": "prefetch", "preconnect": "preconnect", "dns-prefetch": "dns_prefetch", "modulepreload": "modulepreload", "me": "me"}
 
@@ -156,7 +156,12 @@ def coerced(value: str, kind: str | None):
 
 
 def put(tree: dict, path: str, value) -> None:
-    """Writes at a dotted path: a starred path appends, others keep their first value."""
+    """Writes at dotted paths, parted by |: a starred path appends, others keep their first value; a flag's value is true."""
+    if "|" in path:
+        for p in path.split("|"):
+            put(tree, p, value)
+        return
+    value = True if path in FLAGS else value
     *ways, last = path.rstrip("*").split(".")
     for w in ways:
         tree = tree.setdefault(w, {})
@@ -185,7 +190,7 @@ def classify(entries: list[dict]) -> dict:
             value = e["content"]
             if e["charset"]:
                 put(meta, "charset", e["charset"])
-            key, table = next(((e[k], t) for k, t in (("name", NAMES | TWITTER | PROPERTIES), ("property", PROPERTIES | TWITTER), ("http_equiv", EQUIV)) if e[k]), (None, {}))
+            key, table = next(((e[k], t) for k, t in (("name", NAMES | K.PROPERTIES), ("property", K.PROPERTIES | TWITTER), ("http_equiv", K.EQUIV), ("itemprop", K.ITEMPROPS)) if e[k]), (None, {}))
             if key is None or value is None:
                 if not e["charset"]:
                     put(meta, "others.meta*", {k: v for k, v in e.items() if v and k != "kind"})
@@ -205,6 +210,10 @@ def classify(entries: list[dict]) -> dict:
                     target = "feeds" if rel == "alternate" and re.search("rss|atom|feed", e.get("type") or "") else MANY_REL[rel]
                     put(meta, target + "*", item)
                     known = True
+                elif rel in K.RELATIONS and not (rel == "shortcut" and "icon" in e["rel"]):
+                    path, kind_of = K.RELATIONS[rel]
+                    put(meta, f"link.{path}" + "*" * (kind_of in "*#"), e["href"] if kind_of == "=" else item)
+                    known = True
             if not known:
                 put(meta, "others.link*", {**item, "rel": e["rel"]})
         elif kind == "script" and e["type"] == "application/ld+json":
@@ -217,16 +226,87 @@ def classify(entries: list[dict]) -> dict:
 
 
 def page_meta(html: str) -> dict:
-    return classify(collect(html)[0])
-
-
-TAG_IDS = {"google-analytics-4": r"\bG-[A-Z0-9]{6,12}\b", "universal-analytics": r"\bUA-\d{4,10}-\d{1,4}\b", "google-tag-manager": r"\bGTM-[A-Z0-9]{4,9}\b", "google-ads": r"\bAW-\d{6,12}\b", "adsense": r"\bca-pub-\d{10,20}\b", "hotjar": r"hjid\s*[:=]\s*(\d{5,8})", "clarity": r"clarity\.ms/tag/([a-z0-9]{8,12})", "facebook-pixel": r"fbq\(\s*['\"]init['\"]\s*,\s*['\"](\d{10,20})['\"]"}
+    return {**empty_meta(), **classify(collect(html)[0])}
+
+
+def _called(f: str, *words: str) -> str:
+    """A call of f: words as quoted arguments, the last one the id."""
+    quoted = [f"['\"]{w}['\"]" for w in words[:-1]] + [f"['\"]({words[-1]})['\"]"]
+    return f + r"\(\s*" + r"\s*,\s*".join(quoted)
+
+
+def _quoted(pattern: str) -> str:
+    return f"['\"]({pattern})['\"]"
+
+
+_UA, _GA, _GTM, _PIXEL = r"UA-\d{4,10}-\d{1,4}", "G-[A-Z0-9]{4,20}", "GTM-[A-Z0-9]{4,12}", r"\d{6,20}"
+#: Patterns of measurement and service ids by provider; the first group, or the whole match, is the id.
+TAG_IDS: dict[str, list[str]] = {
+    "Adobe Analytics": [rf"(?i)s{dot}account\s*=\s*{_quoted('[a-z0-9,]{3,50}')}" for dot in ("_", r"\.")],
+    "Amplitude": [_called(f, "[a-f0-9]{16,40}") for f in (r"amplitude\.init", r"getInstance\(\)\.init")],
+    "Bing Universal Event Tracking": [_called("setAttribute", "data-tag", _PIXEL), r"UET\(\{\s*ti:\s*" + _quoted(_PIXEL)],
+    "Cookiebot": [r"consent\.cookiebot\.com/uc\.js[^\"']*?cbid=([a-f0-9-]{16,40})"],
+    "Drift": [_called(r"drift\.load", "[a-z0-9]{6,30}")],
+    "Facebook Pixel": [_called("fbq", "init", _PIXEL), rf"connect\.facebook\.net/[^\"']+/fbevents\.js\D*({_PIXEL})"],
+    "Facebook for WordPress": [_called("fbq", "init", _PIXEL)],
+    "Google Ads": [_quoted(r"AW-\d{4,12}")],
+    "Google Analytics": [_called("gtag", "config", _GA), rf"googletagmanager\.com/gtag/js\?id=({_GA})", _called(r"\bga", "create", _UA), _quoted(_UA)],
+    "Google Tag Manager": [rf"googletagmanager\.com/(?:gtm|ns)\.[a-z]+\?id=({_GTM})", _quoted(_GTM)],
+    "Google reCAPTCHA": [r"google\.com/recaptcha/api\.js[^\"']*?(?:render=)?([\w-]{20,60})"],
+    "Heap": [_called(r"heap\.load", _PIXEL), r"heap\.appid\s*=\s*" + _quoted(_PIXEL)],
+    "Hotjar": [r"hjid\s*[:=]\s*(\d{4,10})", r"static\.hotjar\.com/c/hotjar-(\d{4,10})\.js"],
+    "HubSpot": [r"js\.hs-?scripts\.com/(\d{4,12})\.js", r"js\.hubspot\.com/web-interactives/v1/embeds/(\d{4,12})"],
+    "Intercom": [f"{start}[^}}]*?app_id:\\s*{_quoted('[a-z0-9]{4,10}')}" for start in (r"intercomSettings\s*=\s*\{", r"Intercom\(\s*['\"]boot['\"]\s*,\s*\{")],
+    "LinkedIn Insight Tag": [r"_linkedin_partner_id\s*=\s*" + _quoted(r"\d{4,10}")],
+    "Matomo": [r"_paq\.push\(\s*\[\s*['\"]setSiteId['\"]\s*,\s*['\"]?(\d{1,6})['\"]?\s*\]", r"matomo\.php\?siteId=(\d{1,6})"],
+    "Microsoft Clarity": [r"clarity\.ms/tag/([a-z0-9]{6,20})", "(?i)" + _called("clarity", "start", "[a-z0-9]{6,20}")],
+    "Mixpanel": [_called(r"mixpanel\.init", "[a-f0-9]{16,40}")],
+    "OneTrust": [r"(?i)dataDomain['\"=]\s*['\"]?([a-z0-9-]{16,80})['\"]?"],
+    "Optimizely": [rf"cdn\.optimizely\.com/js/({_PIXEL})\.js"],
+    "Pinterest Tag": [_called("pintrk", "load", r"\d{12,20}")],
+    "Plausible": [r"plausible\.io/js/script\.js[?&]domain=([a-zA-Z0-9.,-]+)"],
+    "PostHog": [_called(r"posthog\.init", r"[\w-]{16,80}")],
+    "Segment": [_called(r"analytics\.load", "[a-zA-Z0-9]{8,40}"), r"cdn\.segment\.com/analytics\.js/v1/([a-zA-Z0-9]{8,40})"],
+    "Sentry": [rf"(https://[a-f0-9]+@[a-zA-Z0-9.-]+{host}\.io/\d+)" for host in (r"\.ingest\.sentry", r"\.sentry")],
+    "Stripe": [r"js\.stripe\.com/v\d+/"],
+    "Tawk.to": [r"embed\.tawk\.to/([a-f0-9]{16,40})"],
+    "TikTok Pixel": [_called(r"ttq\.load", "[A-Z0-9]{12,30}"), r"tiktok\.com/i18n/pixel/events\.js\?sdkid=([A-Z0-9]{12,30})"],
+    "Twitter Ads": [_called("twq", "config", "[a-z0-9]{4,12}")],
+    "Yandex Metrica": [r"ym\(\s*(\d{6,12})\s*,\s*['\"]init['\"]"],
+    "Zendesk Chat": [r"static\.zdassets\.com/ekr/snippet\.js\?key=([a-f0-9-]{16,40})"],
+}
+
+
+def provider_ids(provider: str, html: str) -> list[str]:
+    """Distinct ids of one provider, pattern by pattern in the order they appear."""
+    return list(dict.fromkeys(m[1] if m.re.groups else m[0] for p in TAG_IDS.get(provider, []) for m in re.finditer(p, html)))
+
+
+def tag_ids(html: str) -> dict[str, list[str]]:
+    """All providers that have ids in the page."""
+    found = {k: provider_ids(k, html) for k in TAG_IDS}
+    return {k: v for k, v in found.items() if v}
 
 
-def tag_ids(text: str) -> dict[str, list[str]]:
-    """Distinct ids of measurement tags, by provider, in the order they appear."""
-    found = {k: list(dict.fromkeys(m[1] if m.re.groups else m[0] for m in re.finditer(p, text))) for k, p in TAG_IDS.items()}
-    return {k: v for k, v in found.items() if v}
+def assembled_tags(detections: list[dict], html: str) -> dict:
+    """Detected technologies (name, categories, version, confidence) as a map by category and as entries, one for each id. Without a category they are Other; the detection itself needs a fingerprint base that isn't supplied."""
+    detected: dict[str, dict] = {}
+    entries = []
+    for d in detections:
+        if not d.get("name"):
+            continue
+        ids = provider_ids(d["name"], html)
+        more = {k: d[k] for k in ("version", "confidence") if d.get(k) is not None}
+        categories = [c for c in d.get("categories") or [] if isinstance(c, str)]
+        for c in categories or ["Other"]:
+            detected.setdefault(c, {})[d["name"]] = {"ids": ids, **more}
+        entries += [{"provider": d["name"], "categories": categories, **more, "sources": [{"type": "html"}], **({"id": i} if i else {})} for i in ids or [None]]
+    return {"detected": detected, "entries": entries}
+
+
+def empty_meta() -> dict:
+    """What every page's record has."""
+    return {"title": "", "origin_trial": [], "json_ld": [], "speculation_rules": [], "tags": {"detected": {}, "entries": []}, "others": {}}
 
 
 class _Main(Handler):

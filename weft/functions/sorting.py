@@ -20,6 +20,16 @@ def decode_uri(text: str) -> str:
         return text
 
 
+def decode_component(text: str) -> str:
+    """Decodes all escapes; the text itself where one is malformed."""
+    if re.search(r"%(?![0-9a-fA-F]{2})", text):
+        return text
+    try:
+        return unquote(text, errors="strict")
+    except UnicodeDecodeError:
+        return text
+
+
 def _units(text: str) -> bytes:
     return text.encode("utf-16-be", "surrogatepass")
 

@@ -6,7 +6,7 @@ import posixpath
 import re
 from urllib.parse import parse_qsl, quote, unquote, urlencode, urljoin, urlsplit
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.sorting import decode_uri, numerical
@@ -258,3 +258,42 @@ def project_id(url: str) -> str:
     if not p["protocol"]:
         return url
     return p["paths"][1] if len(p["paths"]) > 1 and p["paths"][1] else dict(parse_qsl(p["query"] or "")).get("project.id", url)
+
+
+def path_to_url(path: str) -> str:
+    """A URL as it is (normalised), anything else as a file's."""
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path):
+        return parse_url(path)["href"]
+    return "file:///" + quote(posixpath.normpath("/" + path.lstrip("/")).lstrip("/"), safe="/%:@!$&'()*+,;=~-._") + ("/" if path.endswith("/") and path.strip("/") else "")
+
+
+def safe_file_path(path: str) -> str:
+    """Decoded, with _ for characters and names that file systems refuse. Raises on a malformed escape."""
+    if re.search(r"%(?![0-9a-fA-F]{2})", path):
+        raise ValueError(f"malformed escape in {path!r}")
+    name = re.sub(r'[/?<>\\:*|"\x00-\x1f\x80-\x9f]', "_", decode_uri(path))
+    name = "_" if re.fullmatch(r"\.+|(?i:con|prn|aux|nul|com[0-9]|lpt[0-9])(?:\..*)?", name) else name
+    return re.sub(r"[. ]+$", "_", name).encode()[:255].decode("utf-8", "ignore")
+
+
+def analyzed_urls(urls: DataFrame, column: str = "url") -> DataFrame:
+    """One row (has_auth, has_no_ssl) of a column of URLs, or of arrays of them."""
+    kind = dict(urls.dtypes)[column]
+    u = urls.select(F.explode(column).alias("u")) if kind.startswith("array") else urls.select(F.col(column).alias("u"))
+    login = F.regexp_extract("u", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*)@", 1)
+    return u.agg(F.coalesce(F.bool_or(F.regexp_replace(login, ":$", "") != ""), F.lit(False)).alias("has_auth"), F.coalesce(F.bool_or(protocol(F.col("u")) == "http:"), F.lit(False)).alias("has_no_ssl"))
+
+
+def compared_with(urls: DataFrame, host: str, column: str = "url") -> DataFrame:
+    """(url_a, url_b): each URL and the same path and query on the host to compare with."""
+    rest = F.regexp_replace(F.regexp_replace(column, "#.*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "")
+    return urls.select(F.col(column).alias("url_a"), F.concat(F.lit(host), F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))).alias("url_b"))
+
+
+def environment_pairs(a: DataFrame, b: DataFrame, pairs: DataFrame, sizes: str = "size") -> DataFrame:
+    """Captures of both sides: by the pair's URLs, then by size. A size of the first that the second lacks fails the query."""
+    left = pairs.join(a, F.col("url_a") == F.col("url")).drop("url")
+    right = b.select(F.col("url").alias("url_b"), F.col(sizes), *[F.col(c).alias(f"{c}_b") for c in b.columns if c not in ("url", sizes)], F.lit(True).alias("there"))
+    both = left.join(right, ["url_b", sizes], "left")
+    checked = F.when(F.col("there"), F.col(sizes)).otherwise(F.raise_error(F.concat(F.lit("no capture of "), "url_b", F.lit(" at "), F.col(sizes))))
+    return both.withColumn(sizes, checked).drop("there")

@@ -217,3 +217,44 @@ def success_criteria(tags: Column) -> Column:
 
 def paragraphs(*parts: Column, by: str = "\n\n") -> Column:
     return F.array_join(F.filter(F.array(*parts), lambda p: p.isNotNull() & (p != "")), by)
+
+
+def readable(text: Column) -> Column:
+    """Trimmed, white space collapsed; null becomes empty."""
+    return F.coalesce(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), F.lit(""))
+
+
+def provided_cell(value: Column, kind: str, *, image: bool = False, link: Column | None = None, if_null: str | None = None, note: Column | None = None, note_most: int = 5_000) -> Column:
+    """struct(formula, text, number, flag, hyperlink, note): a value as a sheet's cell takes it. kind: text, number, boolean, timestamp."""
+    none = lambda t: F.lit(None).cast(t)
+    formula, text, number, flag, hyper = none("string"), none("string"), none("double"), none("boolean"), none("string")
+    if kind == "text":
+        v = F.trim(F.coalesce(value, F.lit(if_null)) if if_null is not None else value)
+        if image:
+            formula = F.concat(F.lit('=IMAGE("'), F.coalesce(F.try_url_decode(F.replace(v, F.lit("+"), F.lit("%2B"))), v), F.lit('", 1)'))
+        else:
+            is_formula = v.startswith("=")
+            hyper = F.when(~is_formula & (F.trim(link) != ""), F.trim(link)) if link is not None else hyper
+            linked = F.concat(F.lit('=HYPERLINK("'), F.replace(v, F.lit('"'), F.lit('\\"')), F.lit('", "'), hyper, F.lit('")'))
+            formula = F.when(is_formula, v).when(hyper.isNotNull(), linked)
+            text = F.when(v.isNull(), "").when(formula.isNull(), F.substring(v, 1, 49_999))
+    elif kind == "number":
+        number = value.cast("double")
+    elif kind == "boolean":
+        flag = value
+    else:
+        number = F.unix_millis(value.cast("timestamp")) / 86_400_000 + 25_569
+    said = note if note is not None else none("string")
+    cut = F.when(F.length(said) > note_most, F.concat(F.substring(said, 1, note_most), F.lit("\n\n...\nToo Large Text"))).otherwise(said)
+    return F.struct(formula.alias("formula"), text.alias("text"), number.alias("number"), flag.alias("flag"), hyper.alias("hyperlink"), cut.alias("note"))
+
+
+def console_entry(page: Column, event: Column) -> Column:
+    """struct(page_url, type, text, args, location, stack, ts) of a captured console message or page error (a struct with type, text, args, url, message, stack, ts)."""
+    error = event["type"] == "pageerror"
+    return F.struct(page.alias("page_url"), event["type"].alias("type"), F.when(error, F.coalesce(event["message"], event["text"])).otherwise(event["text"]).alias("text"), F.when(error, F.array().cast("array<string>")).otherwise(event["args"]).alias("args"), F.when(~error, event["url"]).alias("location"), F.when(error, event["stack"]).alias("stack"), event["ts"].alias("ts"))
+
+
+def stamp(ts: Column, pattern: str | None = None) -> Column:
+    """Seconds since 1970 as text, or the time in a pattern."""
+    return F.date_format(ts, pattern) if pattern else F.unix_seconds(ts.cast("timestamp")).cast("string")

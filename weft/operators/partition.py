@@ -151,3 +151,26 @@ def merged_partition(pages: DataFrame, axis: tuple[int, list[str]] | None = None
     """pages with cluster keys merged where clusters share token sets or mirror each other under the axis."""
     roots = merged_keys(cross_duplicates(pages, axis, threshold))
     return pages.join(roots, "cluster_key", "left").withColumn("cluster_key", F.coalesce("root", "cluster_key")).select(*pages.columns)
+
+
+def report(pages: DataFrame, axis: tuple[int, list[str]] | None) -> dict:
+    """The checks of a partition as one record: clusters and pairs of clusters, no pages."""
+    cohesion_rows = cohesion(pages).orderBy("cluster_key").toLocalIterator()
+    duplicates = cross_duplicates(pages, axis).orderBy("cluster_key_a", "cluster_key_b").toLocalIterator()
+    return {
+        "mirrorAxis": axis and {"position": axis[0], "values": axis[1]},
+        "cohesion": [{"clusterKey": r.cluster_key, "memberCount": r.members, "sampledMemberCount": min(r.members, COHESION_SAMPLE), "medianPairSimilarity": r.median, "p10PairSimilarity": r.p10, "minPairSimilarity": r.min, "suspicious": r.suspicious} for r in cohesion_rows],
+        "crossClusterDuplicates": [{"clusterKeyA": r.cluster_key_a, "clusterKeyB": r.cluster_key_b, "similarity": r.similarity, "corroboratedByMirrorAxis": r.corroborated} for r in duplicates],
+    }
+
+
+def reasons_report(pages: DataFrame) -> dict:
+    """Why each cluster is one: its blocks' reasons, core tokens, landmarks and siblings. pages: clustered, with reason and instances."""
+    blocks = pages.groupBy("cluster_key").agg(F.array_sort(F.collect_set(F.struct("block_key", "reason"))).alias("blocks"))
+    marks = landmark_profiles(pages).groupBy("cluster_key").agg(F.array_sort(F.collect_list(F.struct("type", "presence_rate", "chrome_rate", "shell_tokens", "members_with"))).alias("marks"))
+    out = {}
+    for r in cluster_reasons(pages).join(blocks, "cluster_key").join(marks, "cluster_key", "left").orderBy("cluster_key").toLocalIterator():
+        landmarks = {m.type: {"presenceRate": m.presence_rate, "chromeRate": m.chrome_rate, "shellTokens": m.shell_tokens, "memberCountWithInstance": m.members_with} for m in r.marks or []}
+        blocking = [{"blockKey": b.block_key, "reason": {k: v for k, v in b.reason.asDict().items() if v is not None}} for b in r.blocks]
+        out[r.cluster_key] = {"memberCount": r.pages, "blocking": blocking, "structuralCoreTokens": r.core_tokens, "landmarks": landmarks, "siblingClusterKeys": r.siblings}
+    return out

@@ -432,3 +432,58 @@ def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = (("union", of("customer", "c_nationkey").union(of("supplier", "s_nationkey")).distinct()), ("intersect", of("customer", "c_custkey").intersect(of("orders", "o_custkey"))), ("except", of("part", "p_partkey").subtract(of("customer", "c_custkey"))))
     rows = [df.select(F.lit(op).alias("op"), "k") for op, df in parts]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query(
+    """SELECT p_partkey AS k, CASE p_size % 4 WHEN 0 THEN '=SUM(' || CAST(p_size AS VARCHAR) || ')' WHEN 1 THEN '=HYPERLINK("' || p_name || '", "http://e.com/' || CAST(p_partkey AS VARCHAR) || '")' END AS formula,
+CASE p_size % 4 WHEN 2 THEN p_name WHEN 3 THEN 'none' END AS text, CASE WHEN p_size % 4 = 1 THEN 'http://e.com/' || CAST(p_partkey AS VARCHAR) END AS hyperlink, CASE WHEN p_size > 9 THEN substr(p_type, 1, 5) || chr(10) || chr(10) || '...' || chr(10) || 'Too Large Text' ELSE p_brand END AS note, replace(p_name, ' ', ' ') AS readable FROM part"""
+)
+def provided_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values as a sheet's cells take them: formulas, links, stand-ins and cut notes."""
+    s, k = F.col("p_size"), F.col("p_partkey").cast("string")
+    value = F.when(s % 4 == 0, F.concat(F.lit(" =SUM("), s.cast("string"), F.lit(")"))).when(s % 4 != 3, F.concat(F.lit(" "), F.col("p_name")))
+    link = F.when(s % 4 == 1, F.concat(F.lit("http://e.com/"), k)).otherwise(F.lit(""))
+    note = F.when(s > 9, F.concat(F.substring("p_type", 1, 5), F.lit("x" * 9))).otherwise(F.col("p_brand"))
+    cell = V.provided_cell(value, "text", link=link, if_null="none", note=note, note_most=5)
+    plain = V.provided_cell(value, "text", link=link, if_null="none", note=note, note_most=99)
+    both = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), cell.alias("c"), plain.alias("p"), (s > 9).alias("long"), V.readable(F.concat(F.lit(" \n"), F.regexp_replace("p_name", " ", "\r\n  "))).alias("readable"))
+    return both.select("k", "c.formula", "c.text", "c.hyperlink", F.when(F.col("long"), F.col("c.note")).otherwise(F.col("p.note")).alias("note"), "readable")
+
+
+@query(
+    """SELECT c_custkey AS k, 'http://a.example/p/' || CAST(c_custkey AS VARCHAR) || '?q=1' AS url_a, 'https://b.example/p/' || CAST(c_custkey AS VARCHAR) || '?q=1' AS url_b, s AS size, c_name AS shot, c_mktsegment AS shot_b FROM customer, (VALUES ('pc'), ('sp')) v(s) WHERE c_custkey < 200"""
+)
+def compared_environments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of two environments by URL and size."""
+    rows = read(spark, sf_dir, "customer").where("c_custkey < 200")
+    id_ = F.col("c_custkey").cast("string")
+    pairs = U.compared_with(rows.select(F.concat(F.lit("http://a.example/p/"), id_, F.lit("?q=1#top")).alias("url")), "https://b.example")
+    size = F.explode(F.array(F.lit("pc"), F.lit("sp"))).alias("size")
+    a = rows.select(F.concat(F.lit("http://a.example/p/"), id_, F.lit("?q=1#top")).alias("url"), size, F.col("c_name").alias("shot"), F.col("c_custkey").alias("k"))
+    b = rows.select(F.concat(F.lit("https://b.example/p/"), id_, F.lit("?q=1")).alias("url"), size, F.col("c_mktsegment").alias("shot"))
+    out = U.environment_pairs(a, b, pairs)
+    return out.select("k", F.regexp_replace("url_a", "#.*", "").alias("url_a"), "url_b", "size", "shot", "shot_b")
+
+
+@query("SELECT bool_or(page_id % 7 = 0) AS has_auth, bool_or(starts_with(url, 'http:')) AS has_no_ssl FROM pages")
+def analyzed_url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("url")
+    return U.analyzed_urls(read(spark, sf_dir, "pages").select(F.when(F.col("page_id") % 7 == 0, F.regexp_replace(u, "://", "://u:p@")).otherwise(F.regexp_replace(u, "://", "://:@")).alias("url")))
+
+
+@query(
+    """SELECT event_id, 'http://e.com/' || CAST(user_id AS VARCHAR) AS page_url, CASE WHEN event_type = 'error' THEN 'pageerror' ELSE event_type END AS type, CASE WHEN event_type = 'error' THEN 'boom' ELSE props END AS text, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS args, CASE WHEN event_type <> 'error' THEN 'x.js' END AS location, CASE WHEN event_type = 'error' THEN 'at x' END AS stack, CAST(epoch(date_trunc('second', ts)) AS BIGINT)::VARCHAR AS seconds, strftime(ts, '%Y-%m-%d %H') AS hour FROM events"""
+)
+def console_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Console messages and page errors as rows of one kind."""
+    kind = F.when(F.col("event_type") == "error", "pageerror").otherwise(F.col("event_type"))
+    event = F.struct(kind.alias("type"), F.col("props").alias("text"), F.array("props").alias("args"), F.lit("x.js").alias("url"), F.lit("boom").alias("message"), F.lit("at x").alias("stack"), F.col("ts"))
+    rows = read(spark, sf_dir, "events").select("event_id", "ts", V.console_entry(F.concat(F.lit("http://e.com/"), F.col("user_id").cast("string")), event).alias("e"))
+    return rows.select("event_id", "e.page_url", "e.type", "e.text", F.size("e.args").alias("args"), "e.location", "e.stack", V.stamp(F.col("ts")).alias("seconds"), V.stamp(F.col("ts"), "yyyy-MM-dd HH").alias("hour"))
+
+
+@query("SELECT o_custkey, max(o_totalprice) AS largest, bool_or(o_orderstatus = 'O') AS any_open, bool_and(o_orderstatus <> 'P') AS none_pending FROM orders GROUP BY 1")
+def order_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The greatest of a list, and whether any, or all, of a group are so."""
+    orders = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list("o_totalprice").alias("p"), F.bool_or(F.col("o_orderstatus") == "O").alias("any_open"), F.bool_and(F.col("o_orderstatus") != "P").alias("none_pending"))
+    return orders.select("o_custkey", F.array_max("p").alias("largest"), "any_open", "none_pending")

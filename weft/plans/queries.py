@@ -390,4 +390,6 @@ def landmark_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.landmark_variants(written(_tokens(spark, sf_dir), "pages-prepared"), "nav").select(F.col("idx").alias("page_id"), "variant")
 
 
-from weft.plans import functions  # noqa: E402, F401  (registers its queries)
+from weft.plans import cases, functions  # noqa: E402, F401  (functions registers its queries)
+
+QUERIES["function_cases"], SQL["function_cases"] = cases.function_cases, cases.SQL
