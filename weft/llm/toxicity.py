@@ -6,10 +6,11 @@ before it lower it. A clause's score is the weight of its best path, so a text i
 isolated words. Clauses without an insult or threat are accepted by no path and cost nothing.
 
 What counts as an insult beyond the seed words is learned from labelled rows: words and word beginnings whose share of toxic texts
-is far above chance (log-likelihood ratio). The clause scores' weights in a text's score are fitted by logistic regression. At most
+is far above chance (log-likelihood ratio). An arc says which events it stands for (a hit, one more, a threat, aimed, denied, told);
+the events' weights, and the clause scores' weights in a text's score, are fitted by logistic regression, from prior weights. At most
 SAMPLE_ROWS labelled rows are used; labels, language, source and id are never inputs of a score.
 
-Defined cases: a null or empty text has no clause and gets the score of a text without a match; without labelled rows of both
+Defined cases: a text of any length is scored whole; a null or empty text has no clause and gets the score of a text without a match; without labelled rows of both
 classes the seed words and prior weights stand; rows with equal ids are rows of their own; an empty table gives an empty result.
 """
 
@@ -47,20 +48,26 @@ SEEDS = {
 }
 
 
+#: What arcs stand for, with their weights before labels. A learned weight keeps its sign.
+EVENTS = {"hit": 1.0, "again": 0.5, "threat": 0.6, "aimed": 0.3, "denied hit": -0.4, "denied threat": -0.6, "told hit": -0.4, "told threat": -0.4}
+HIT, AGAIN, THREATENS, AIMED, DENIED_HIT, DENIED_THREAT, TOLD_HIT, TOLD_THREAT = range(len(EVENTS))
+ARC_PRIOR = np.array(list(EVENTS.values()))
+
+
 @dataclass
 class Transducer:
-    """arcs: (state, class) -> [(state, weight)]; a class without arcs at a state is read at no weight and without a move."""
+    """arcs: (state, class) -> [(state, events)]; a class without arcs at a state is read without an event and without a move."""
 
-    arcs: dict[tuple[int, int], list[tuple[int, float]]]
+    arcs: dict[tuple[int, int], list[tuple[int, tuple[int, ...]]]]
     final: set[int]
 
-    def step(self, state: int, kind: int) -> list[tuple[int, float]]:
-        return self.arcs.get((state, kind), [(state, 0.0)])
+    def step(self, state: int, kind: int) -> list[tuple[int, tuple[int, ...]]]:
+        return self.arcs.get((state, kind), [(state, ())])
 
     def compose(self, other: Transducer) -> Transducer:
-        """Both read the same classes side by side; weights add up, states pair."""
+        """Both read the same classes side by side; events add up, states pair."""
         ids: dict[tuple[int, int], int] = {(0, 0): 0}
-        arcs: dict[tuple[int, int], list[tuple[int, float]]] = {}
+        arcs: dict[tuple[int, int], list[tuple[int, tuple[int, ...]]]] = {}
         todo = [(0, 0)]
         while todo:
             pair = todo.pop()
@@ -75,25 +82,25 @@ class Transducer:
                 arcs[ids[pair], kind] = out
         return Transducer(arcs, {i for (a, b), i in ids.items() if a in self.final and b in other.final})
 
-    def best(self, kinds: list[int]) -> float | None:
-        """The weight of the best accepted path, None if there is none."""
-        paths = {0: 0.0}
+    def best(self, kinds: list[int], weights: np.ndarray = ARC_PRIOR) -> tuple[float, list[int]] | None:
+        """The weight and the events of the best accepted path, None if there is none."""
+        paths: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
         for kind in kinds:
-            nxt: dict[int, float] = {}
-            for state, weight in paths.items():
+            nxt: dict[int, tuple[float, list[int]]] = {}
+            for state, (weight, events) in paths.items():
                 for to, more in self.step(state, kind):
-                    if weight + more > nxt.get(to, -math.inf):
-                        nxt[to] = weight + more
+                    w = weight + sum(weights[e] for e in more)
+                    if to not in nxt or w > nxt[to][0]:
+                        nxt[to] = (w, events + list(more))
             paths = nxt
-        found = [w for s, w in paths.items() if s in self.final]
-        return max(found) if found else None
+        return max((x for s, x in paths.items() if s in self.final), key=lambda x: x[0], default=None)
 
 
 def grammar() -> Transducer:
-    hit = Transducer({(0, INSULT): [(1, 1.0)], (1, INSULT): [(1, 0.5)], (0, THREAT): [(0, 0.0), (1, 0.6)]}, {1})
-    aimed = Transducer({(0, TARGET): [(1, 0.0)], (1, INSULT): [(2, 0.3)], (1, THREAT): [(2, 0.3)], (0, INSULT): [(3, 0.0)], (3, TARGET): [(2, 0.3)]}, {0, 1, 2, 3})
-    denied = Transducer({(0, NEGATION): [(1, 0.0)], (1, INSULT): [(0, -0.4)], (1, THREAT): [(0, -0.6)]}, {0, 1})
-    told = Transducer({(0, REPORT): [(1, 0.0)], (1, INSULT): [(0, -0.4)], (1, THREAT): [(0, -0.4)]}, {0, 1})
+    hit = Transducer({(0, INSULT): [(1, (HIT,))], (1, INSULT): [(1, (AGAIN,))], (0, THREAT): [(0, ()), (1, (THREATENS,))]}, {1})
+    aimed = Transducer({(0, TARGET): [(1, ())], (1, INSULT): [(2, (AIMED,))], (1, THREAT): [(2, (AIMED,))], (0, INSULT): [(3, ())], (3, TARGET): [(2, (AIMED,))]}, {0, 1, 2, 3})
+    denied = Transducer({(0, NEGATION): [(1, ())], (1, INSULT): [(0, (DENIED_HIT,))], (1, THREAT): [(0, (DENIED_THREAT,))]}, {0, 1})
+    told = Transducer({(0, REPORT): [(1, ())], (1, INSULT): [(0, (TOLD_HIT,))], (1, THREAT): [(0, (TOLD_THREAT,))]}, {0, 1})
     return hit.compose(aimed).compose(denied).compose(told)
 
 
@@ -119,41 +126,52 @@ FEATURES = 5
 
 
 class Matcher:
-    def __init__(self, lexicon: Lexicon) -> None:
-        self.lexicon, self.grammar, self.known = lexicon, grammar(), {}
+    def __init__(self, lexicon: Lexicon, arcs: np.ndarray = ARC_PRIOR) -> None:
+        self.lexicon, self.arcs, self.grammar, self.known = lexicon, arcs, grammar(), {}
         self.hits = {w for w, k in lexicon.words.items() if k in (INSULT, THREAT)}
         self.short = {s[: PREFIXES[0]] for s in lexicon.starts}
 
-    def features(self, text: str | None) -> list[float]:
-        """Of the matched clauses: whether there are any, log of the summed and of the best score, their share, and log of their number."""
+    def matched(self, text: str | None) -> tuple[list[tuple[float, list[int]]], int]:
+        """(weight, events) of each clause with an insult or a threat that the grammar accepts, and the number of clauses."""
         low = (text or "").lower()
         words = set(WORD.findall(low))
         # a word that begins like a learned one, or is a seed; else no clause can match
         found = words & self.hits
         found.update(w for w in words if w[: PREFIXES[0]] in self.short and self.lexicon.kind(w) == INSULT)
         if not found:
-            return [0.0] * FEATURES
-        scores, clauses = [], CLAUSE.split(low)
+            return [], 1
+        hits, clauses = [], CLAUSE.split(low)
         for clause in clauses:
             kinds = [self.lexicon.kind(w) for w in WORD.findall(clause)]
             if INSULT in kinds or THREAT in kinds:
                 key = bytes(k for k in kinds if k)  # plain words move no transducer
                 if key not in self.known:
-                    self.known[key] = self.grammar.best(list(key))
-                score = self.known[key]
-                if score is not None and score > 0:
-                    scores.append(score)
+                    self.known[key] = self.grammar.best(list(key), self.arcs)
+                if self.known[key] is not None:
+                    hits.append(self.known[key])
         if len(self.known) > 100_000:
             self.known = {}
+        return hits, len(clauses)
+
+    def features(self, text: str | None) -> list[float]:
+        """Of the matched clauses: whether there are any, log of the summed and of the best score, their share, and log of their number."""
+        hits, clauses = self.matched(text)
+        scores = [w for w, _ in hits if w > 0]
         if not scores:
             return [0.0] * FEATURES
-        return [1.0, math.log1p(sum(scores)), math.log1p(max(scores)), len(scores) / len(clauses), math.log1p(len(scores))]
+        return [1.0, math.log1p(sum(scores)), math.log1p(max(scores)), len(scores) / clauses, math.log1p(len(scores))]
+
+    def events(self, text: str | None) -> list[float]:
+        """How often each event stands on the matched clauses' best paths, as logs."""
+        counts = np.bincount([e for _, events in self.matched(text)[0] for e in events], minlength=len(EVENTS))
+        return np.log1p(counts).tolist()
 
 
 @dataclass
 class Model:
     lexicon: Lexicon
     weights: np.ndarray  # of the features, then the constant
+    arcs: np.ndarray = field(default_factory=ARC_PRIOR.copy)
 
 
 #: Before labels: no match scores 0.02, one clear clause 0.8.
@@ -211,16 +229,30 @@ def train(sample: DataFrame) -> Model:
     lexicon.words.update({w: INSULT for w in terms["word"]})
     lexicon.starts.update({s: INSULT for s in terms["start"]})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(lexicon)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([matcher.features(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
+    def read(arcs: np.ndarray, what: str) -> tuple[np.ndarray, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of = getattr(Matcher(lexicon, arcs), what)
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([of(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
-    rows = sample.select("text", "y").mapInArrow(run, "x array<double>, y int").collect()  # bounded by the sample's rows
-    y = np.array([r.y for r in rows], float)
+        rows = sample.select("text", "y").mapInArrow(run, "x array<double>, y int").collect()  # bounded by the sample's rows
+        rows.sort(key=lambda r: (r.y, r.x))  # the same order whatever the tasks'
+        return np.array([r.x for r in rows]), np.array([r.y for r in rows], float)
+
+    x, y = read(ARC_PRIOR, "events")
     if not 0 < y.sum() < len(y):
         return Model(lexicon, PRIOR)
-    return Model(lexicon, logistic(np.array([r.x for r in rows]), y, PRIOR))
+    arcs = arc_weights(x, y)
+    return Model(lexicon, logistic(*read(arcs, "features"), PRIOR), arcs)
+
+
+def arc_weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The events' weights by logistic regression, on the scale of a hit; those that change sign are none."""
+    w = logistic(x, y, np.append(4 * ARC_PRIOR, -4.0), 4.0)[:-1]
+    if w[HIT] <= 0:
+        return ARC_PRIOR.copy()
+    w = w / w[HIT]
+    return np.where(np.sign(w) == np.sign(ARC_PRIOR), np.clip(w, -1.0, 1.0), 0.0)
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -231,7 +263,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entering("toxicity")
         m = shared.value
-        matcher = Matcher(m.lexicon)
+        matcher = Matcher(m.lexicon, m.arcs)
         for batch in sliced(batches):
             x = np.array([matcher.features(t) for t in batch.column("_text").to_pylist()], float).reshape(-1, FEATURES)
             score = 1 / (1 + np.exp(-np.clip(x @ m.weights[:-1] + m.weights[-1], -30, 30)))
@@ -248,7 +280,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entering("toxicity")
         m = shared.value
-        matcher = Matcher(m.lexicon)
+        matcher = Matcher(m.lexicon, m.arcs)
         for batch in sliced(batches):
             x = np.array([matcher.features(t) for t in batch.column(text_col).to_pylist()], float).reshape(-1, FEATURES)
             yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(x @ m.weights[:-1] + m.weights[-1], -30, 30))) < THRESHOLD))
