@@ -27,13 +27,16 @@ from weft.llm.common import table, written
 
 TOP = 10
 SCALE = 1024
-VECTOR_BLOCK = 8_192
-QUERY_BLOCK = 1_024
+#: Vectors are copied once a query block, and each block pair gives k rows a query, so both blocks are as large as a task's memory
+#: allows (8 bytes a component), and the rows are reduced MERGED blocks at a time.
+VECTOR_BLOCK = 16_384
+QUERY_BLOCK = 8_192
+MERGED = 64
 #: Lists, each by the inner product over so many equal runs of dimensions. A list for each single dimension was tried: at 64
 #: dimensions its bounds never closed before the lists' ends.
 PARTS = 4
 #: Queries whose lists are held at once.
-AT_ONCE = 64
+AT_ONCE = 32
 #: Shares of the lists after which the bounds are compared.
 STEPS = (1 / 64, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 1)
 
@@ -115,7 +118,9 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = TOP, id_col: str = "v
     left = queries.withColumns({"qb": split(q_blocks), "vb": every(v_blocks)}).groupBy("qb", "vb")
     right = rows.withColumns({"vb": F.pmod(F.monotonically_increasing_id(), F.lit(v_blocks)).cast("int"), "qb": every(q_blocks)}).groupBy("qb", "vb")
     found = left.cogroup(right).applyInPandas(lambda a, b: best_of_block(a, b, k), "query_id long, vec_id long, score long")
-    best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))  # k a block
+    first = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best")
+    parts = F.pmod(F.xxhash64("vec_id"), F.lit(-(-v_blocks // MERGED)))  # k a block, so some k x MERGED rows meet
+    best = found.groupBy("query_id", parts.alias("part")).agg(first).select("query_id", F.explode("best").alias("b")).select("query_id", (-F.col("b.s")).alias("score"), "b.vec_id").groupBy("query_id").agg(first)
     out = best.select("query_id", F.posexplode("best").alias("rank", "b"))
     return out.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
 
