@@ -83,6 +83,8 @@ def nra(lists: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, float]:
 
 
 def best_of_block(queries: pd.DataFrame, vectors: pd.DataFrame, k: int, parts: int = PARTS) -> pd.DataFrame:
+    if not len(queries) or not len(vectors):  # a block pair of one side alone
+        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
     out = []
     for dim, vs in vectors.groupby(vectors["v"].map(len)):
         qs = queries[queries["v"].map(len) == dim]
