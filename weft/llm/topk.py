@@ -120,6 +120,7 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = TOP, id_col: str = "v
     left = queries.withColumns({"qb": split(q_blocks), "vb": every(v_blocks)}).groupBy("qb", "vb")
     right = rows.withColumns({"vb": F.pmod(F.monotonically_increasing_id(), F.lit(v_blocks)).cast("int"), "qb": every(q_blocks)}).groupBy("qb", "vb")
     found = left.cogroup(right).applyInPandas(lambda a, b: best_of_block(a, b, k), "query_id long, vec_id long, score long")
+    found = written(found, "block-best")  # the dear part, once
     first = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best")
     parts = F.pmod(F.xxhash64("vec_id"), F.lit(-(-v_blocks // MERGED)))  # k a block, so some k x MERGED rows meet
     best = found.groupBy("query_id", parts.alias("part")).agg(first).select("query_id", F.explode("best").alias("b")).select("query_id", (-F.col("b.s")).alias("score"), "b.vec_id").groupBy("query_id").agg(first)
