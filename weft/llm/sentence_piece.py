@@ -27,8 +27,8 @@ from weft.llm.common import entering, local_env, table
 
 SPACE = "▁"
 KEPT = 400_000
-PARTS_KEPT = 600_000
-PAIRS_KEPT = 400_000
+PARTS_KEPT = 200_000
+PAIRS_KEPT = 250_000
 STRETCH = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 UNKNOWN_PENALTY = 10.0
 
@@ -40,8 +40,13 @@ class Vocabulary:
         self.pieces, self.bytes_, self.unknown, self.bpe = pieces, bytes_, unknown, bpe
         self.longest = max(map(len, pieces), default=1)
         self.floor = min((s for _, s in pieces.values()), default=0.0) - UNKNOWN_PENALTY
-        #: The score of a piece, False for what only begins one.
-        self.nodes: dict[str, float | bool] = {p[:k]: False for p in pieces for k in range(1, len(p))} | {p: float(s) for p, (_, s) in pieces.items()}
+        #: A tree of the pieces' characters; under the empty string (piece, score) where a piece ends.
+        self.tree: dict = {}
+        for p, (_, s) in pieces.items():
+            node = self.tree
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = (p, float(s))
         self.inside = {p[k : k + 2] for p in pieces for k in range(len(p) - 1)}
         self.cuts = all(SPACE not in p.lstrip(SPACE) and ("\n" not in p or p == "\n") for p in pieces)
         self.splits = bytes_ is not None  # else unknown characters side by side are one id
@@ -82,7 +87,7 @@ class Vocabulary:
         hit = self.pairs.get(key)
         if hit is None:
             if len(self.pairs) > PAIRS_KEPT:
-                self.pairs = {}
+                self.pairs.clear()
             hit = self.pairs[key] = self.merged(a + b) == ([a, b] if a else [b])
         return hit
 
@@ -92,30 +97,34 @@ class Vocabulary:
         # by position - base: (score, the piece that ends there); what lies before base is out
         best: list[tuple[float, str] | None] = [None] * (n + 1 if n <= 4 * self.longest else 6 * self.longest)
         best[0] = (0.0, "")
-        nodes, pairs, bpe = self.nodes, self.pairs, self.bpe
+        tree, pairs, bpe, compatible, none = self.tree, self.pairs, self.bpe, self.compatible, {}
         check = 4 * self.longest
         for j in range(n):
             before = best[j - base]
             if before is None:
                 continue
             score, last = before
-            for i in range(j + 1, n + 1):
-                piece = chars[j:i]
-                node = nodes.get(piece)
-                if node is None and i > j + 1:
-                    break
-                if node is not False:  # a piece, or a character without one
-                    held = best[i - base]
+            node, i = tree.get(chars[j], none), j + 1 - base
+            hit = node.get("") or (chars[j], self.floor)  # a piece, or a character without one
+            while True:
+                if hit is not None:
+                    held = best[i]
                     if not bpe:
-                        reached = score + (self.floor if node is None else node)
+                        reached = score + hit[1]
                         if held is None or reached > held[0]:
-                            best[i - base] = (reached, piece)
+                            best[i] = (reached, hit[0])
                     elif held is None:
-                        fits = pairs.get((last, piece))
-                        if self.compatible(last, piece) if fits is None else fits:
-                            best[i - base] = (0.0, piece)
+                        fits = pairs.get((last, hit[0]))
+                        if compatible(last, hit[0]) if fits is None else fits:
+                            best[i] = (0.0, hit[0])
+                at = i + base
+                if at >= n:
+                    break
+                node = node.get(chars[at])
                 if node is None:
                     break
+                hit = node.get("")
+                i += 1
             if j - base >= check:
                 at = self._meeting(best, base, j)
                 if at > base:
