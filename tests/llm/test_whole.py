@@ -2,7 +2,8 @@
 
 import numpy as np
 
-from weft.llm import quality
+from test_models import corpus
+from weft.llm import crf, quality, secret_scan
 
 
 def test_quality_fits_all_rows_and_pairs(spark):
@@ -34,3 +35,21 @@ def test_quality_takes_every_label(spark):
     labels = spark.range(24_000).selectExpr("id as doc_id", "cast(id % 9 > 0 as int) as quality").union(spark.createDataFrame([(24_100, 7), (24_200, None), (30_000, 1), (0, 1)], "doc_id long, quality int"))
     rows = quality.measured(docs.selectExpr("doc_id", "text", "xxhash64(text) as h"), ["doc_id", "h"])
     assert dict(quality.labelled(rows, labels).groupBy("y").count().collect()) == {0: 2_666, 1: 21_334}
+
+
+def test_field_reads_every_token():
+    """Secrets of letters alone and short ones are found, and spans are those of the best path over all tokens of a text."""
+    model = secret_scan.fit([e for t in corpus(400, 1) for e in secret_scan.examples(t)])
+    for text in ("the river passphrase kXhGqPzRtVbNmWcLdFgJ of green stone", "the river pwd: x7Kq2aZ of green stone"):
+        assert [text[a:z] for a, z in model.spans(text)] in (["kXhGqPzRtVbNmWcLdFgJ"], ["x7Kq2aZ"])
+    held = corpus(200, 2)
+    cases = [v for t in held for v in secret_scan.plainer(t, 7)]
+    assert len(cases) > 30 and sum((s[0], s[1]) in model.spans(t) for t, s in cases) >= 0.8 * len(cases)
+    for text in [*held, *(t for t, _ in cases), "token " * 30 + "no id x7Kq2aZ", "", "=", "1 22 a-b/c+d== ß user:" * 9]:
+        whole, want = secret_scan.text_features(text), []
+        for run in secret_scan.open_runs(text):
+            emit = np.array([model.weights[secret_scan.observed(text, a, z, whole)].sum(0) for a, z in run])
+            tags = crf.viterbi(emit[None], model.trans, np.array([len(run)]))[0]
+            want += [place for place, tag in zip(run, tags) if tag]
+        got = [place for run in secret_scan.open_runs(text) for place in run if any(a <= place[0] and place[1] <= z for a, z in model.spans(text))]
+        assert got == want

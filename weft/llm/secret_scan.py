@@ -3,10 +3,13 @@
 The patterns (assignments, access keys, long hexadecimal runs) always stand. The random field tags tokens as a secret's begin, its
 inside, or outside, from the token's shape, the words beside it and features of the whole text; spans it finds apart from the
 patterns' are added under the kind `crf`. It is trained on the patterns' own spans in at most SAMPLE_TEXTS texts and on variants of
-these: the same places with another keyword or none, other prefixes and other alphabets than the patterns know (VARIANTS of a text).
+these: the same places with another keyword or none, other prefixes and other alphabets than the patterns know (VARIANTS of a text), letters alone and short ones too.
 Half of the examples are without neighbouring words, so that shape and neighbours both carry weight. The fit is bounded: RUNS_A_TEXT
-runs of at most RUN_TOKENS tokens of a text, RUNS in all; scans are not. Tokens that have no digit or are short have the tag outside alone; such a token cuts the chain, so a
-text is decoded exactly over the runs between them, and text without digits costs one scan.
+runs of at most RUN_TOKENS tokens of a text, RUNS in all; scans are not.
+
+Every token of a text is decoded, short ones and those of letters alone too; over two characters between tokens part the chain. Most
+tokens need no search: if a token's lead of the tag outside exceeds all that the words and marks beside it and its
+neighbours' tags can take from it, it is outside on the best path. The rest is decoded with these as fixed ends, which gives the best path of the whole chain.
 
 Spans are in code points, end exclusive. Defined cases: a null or empty text has no span; rows with equal ids are rows of their own;
 a text of any length is decoded whole; other columns are ignored; an empty table gives an empty result, and nothing to train on gives a field that tags nothing.
@@ -18,6 +21,7 @@ import hashlib
 import random
 import re
 import zlib
+from bisect import bisect, bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,9 +35,13 @@ from weft.llm.crf import Adam, gradients, viterbi
 
 SAMPLE_TEXTS = 20_000
 #: Runs of tokens taken from one sampled text, and from all, at most; tokens of a run in training.
-RUNS_A_TEXT, RUNS, RUN_TOKENS = 20, 20_000, 8
+RUNS_A_TEXT, RUNS, RUN_TOKENS = 20, 40_000, 8
 VARIANTS = 2
+#: Of texts without a pattern's span one in so many gives a run wherever it falls.
+PROSE = 2
 STEPS = 80
+#: Tokens whose shapes a Python worker keeps.
+KEPT_TOKENS = 600_000
 KINDS = ("assign", "access", "hex", "crf")
 
 
@@ -46,10 +54,18 @@ ASSIGN = re.compile(f"({'|'.join([*map(_either, KEYWORDS[:4]), _either('api') +
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{8,}={0,2}")
+TOKEN = re.compile(r"[\w+/-]+(?:==?(?![\w=+/-]))?")
+CODE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{8,}")
+LOWER = frozenset("abcdefghijklmnopqrstuvwxyz")
+CONSONANTS = re.compile("[b-df-hj-np-tv-xz]+", re.I | re.A)
 DIGIT = re.compile(r"[0-9]")
 WORDS = re.compile(r"\w+|[^\w\s]")
+WORD = re.compile(r"\w")
 HINTS = {w: i for i, ws in enumerate(("password passwd pwd pass passphrase", "secret token bearer auth credential credentials", "key apikey api_key access private", "id user account number no card", "tel phone call fax", "http https www com mail")) for w in ws.split()}
+HINT = re.compile(r"(?<!\w)(?:" + "|".join(HINTS) + r")(?!\w)", re.I)
+#: Marks beside a token in plain prose: none, space, other than quotes and = or :.
+PLAIN_MARKS = (0, 3, 4)
+ASSIGNS = re.compile("[\"'`=:]")
 
 Span = tuple[int, int, str]
 
@@ -71,17 +87,27 @@ def joined(spans: list[Span]) -> str:
 
 
 def shape(token: str) -> tuple[int, ...]:
-    digits = sum("0" <= c <= "9" for c in token)
-    upper = sum("A" <= c <= "Z" for c in token)
-    lower = sum("a" <= c <= "z" for c in token)
     n = len(token)
-    turns = sum((a.isdigit() != b.isdigit()) for a, b in zip(token, token[1:]))
+    digits = turns = upper = inner = 0
+    letters = token.isalpha()
+    if not letters:
+        digits = sum("0" <= c <= "9" for c in token)
+        turns = sum((a.isdigit() != b.isdigit()) for a, b in zip(token, token[1:]))
+    if not token.islower():
+        if letters and token[1:].islower():
+            upper = int("A" <= token[0] <= "Z")
+        else:
+            upper = sum("A" <= c <= "Z" for c in token)
+            inner = sum(a.islower() and b.isupper() for a, b in zip(token, token[1:]))
+    lower = n - upper if letters and token.isascii() else sum(map(LOWER.__contains__, token))
+    hard = len(max(CONSONANTS.findall(token), key=len, default=""))
     kind = (upper > 0) + 2 * (lower > 0) + 4 * (n > digits + upper + lower)
-    return (kind, min(7, n // 4), min(4, 5 * digits // n), min(5, 8 * turns // n), min(5, 6 * len(set(token)) // n))
+    return (kind, min(7, n // 4), min(4, 5 * digits // n), min(5, 8 * turns // n), min(5, 6 * len(set(token)) // n), min(3, inner), min(4, hard // 2))
 
 
-#: Sizes of the features' value sets: five of shape, two hints, marks before and after, two of the text.
-SIZES = (8, 8, 5, 6, 6, 7, 7, 5, 5, 3, 3)
+#: Sizes of the features' value sets: seven of shape, two hints, marks before and after, two of the text.
+SIZES = (8, 8, 5, 6, 6, 4, 5, 7, 7, 5, 5, 3, 3)
+SHAPES = 7
 FEATURES = sum(SIZES)
 BASES = tuple(int(x) for x in np.cumsum((0, *SIZES[:-1])))
 
@@ -90,32 +116,40 @@ def _mark(c: str) -> int:
     return 0 if not c else 1 if c in "\"'`" else 2 if c in "=:" else 3 if c.isspace() else 4
 
 
+def beside(text: str, a: int, z: int) -> tuple[int, int]:
+    """The hints among the last three words and marks before text[a:z] and the first two after it, of those whole within 40 characters."""
+    low, high = max(0, a - 40), min(len(text), z + 40)
+    before, after = WORDS.findall(text[low:a]), WORDS.findall(text[z:high])
+    if low and WORD.match(text[low - 1]) and before and WORD.match(text[low]):
+        before[0] = ""
+    if high < len(text) and WORD.match(text[high]) and after and WORD.match(text[high - 1]):
+        after[-1] = ""
+    first = lambda words: next((HINTS[w] for w in map(str.lower, words) if w in HINTS), 6)
+    return first(reversed(before[-3:])), first(after[:2])
+
+
 def observed(text: str, a: int, z: int, whole: tuple[int, int], plain: bool = False) -> list[int]:
     """The feature numbers of the token text[a:z]; plain: as if there were no words beside it."""
-    before, after = WORDS.findall(text[max(0, a - 40) : a].lower())[-3:], WORDS.findall(text[z : z + 40].lower())[:2]
-    hints = [6 if plain else next((HINTS[w] for w in reversed(before) if w in HINTS), 6), 6 if plain else next((HINTS[w] for w in after if w in HINTS), 6)]
-    marks = [_mark(text[a - 1 : a]), _mark(text[z : z + 1])]
-    return [b + v for b, v in zip(BASES, (*shape(text[a:z]), *hints, *marks, *whole))]
+    marks = _mark(text[a - 1 : a]), _mark(text[z : z + 1])
+    return [b + v for b, v in zip(BASES, (*shape(text[a:z]), *((6, 6) if plain else beside(text, a, z)), *marks, *whole))]
 
 
 def open_runs(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of neighbouring tokens that may be tagged: 8 or more characters with a digit. Within a run only one or two marks or spaces part them."""
-    if not DIGIT.search(text):
-        return []
+    """Runs of neighbouring tokens, all tokens of the text. Within a run only one or two marks or spaces part them."""
     runs: list[list[tuple[int, int]]] = []
     for m in TOKEN.finditer(text):
         a, z = m.span()
-        if DIGIT.search(text, a, z):
-            if runs and a - runs[-1][-1][1] <= 2:
-                runs[-1].append((a, z))
-            else:
-                runs.append([(a, z)])
+        if runs and a - runs[-1][-1][1] <= 2:
+            runs[-1].append((a, z))
+        else:
+            runs.append([(a, z)])
     return runs
 
 
-def text_features(text: str, tokens: int) -> tuple[int, int]:
-    """Features of the whole text: how much code-like assignment it holds, and how dense its open tokens are."""
-    return min(2, 200 * (text.count("=") + text.count("{")) // (len(text) + 1)), min(2, 2000 * tokens // (len(text) + 1))
+def text_features(text: str) -> tuple[int, int]:
+    """Features of the whole text: how much code-like assignment it holds, and how dense its long tokens with a digit are."""
+    codes = sum(1 for _ in CODE.finditer(text)) if DIGIT.search(text) else 0
+    return min(2, 200 * (text.count("=") + text.count("{")) // (len(text) + 1)), min(2, 2000 * codes // (len(text) + 1))
 
 
 @dataclass
@@ -123,25 +157,96 @@ class Model:
     weights: np.ndarray  # FEATURES x 3
     trans: np.ndarray  # 3 x 3
 
+    def __post_init__(self) -> None:
+        """Scores as leads over the tag outside, and the most that they can be."""
+        w, t = self.weights, self.trans
+        lead = w[:, 1:] - w[:, :1]
+        parts = [lead[b : b + n] for b, n in zip(BASES, SIZES)]
+        gain = lambda steps: np.maximum(0, (steps - steps[:, :1]).max(0))
+        self.lead, self.whole = lead, [[(a + b).tolist() for b in parts[-1]] for a in parts[-2]]
+        self.hints = [[(a + b).tolist() for b in parts[SHAPES + 1]] for a in parts[SHAPES]]
+        self.marks = [[(a + b).tolist() for b in parts[SHAPES + 3]] for a in parts[SHAPES + 2]]
+        self.by_tags = ((gain(t) + gain(t.T))[1:] + 1e-9).tolist()  # by the neighbours' tags
+        most = lambda table, of: [max(table[i][j][k] for i in of for j in of) for k in (0, 1)]
+        self.most_hints = [self.hints[6][6], most(self.hints, range(7))]
+        self.most_marks = [most(self.marks, PLAIN_MARKS), most(self.marks, range(5))]
+        self.known: dict[str, tuple[float, float]] = {}  # tokens' leads by their shape
+        self.hinting: set[str] = set()  # those that hold a hint
+        self.shapes: dict[tuple[int, ...], tuple[float, float]] = {}
+
+    def learn(self, tokens: set[str]) -> dict[str, tuple[float, float]]:
+        """The leads of these tokens, and others, by their shapes."""
+        if len(self.known) + len(tokens) > KEPT_TOKENS:
+            self.known, self.hinting = {}, set()
+        known, shapes = self.known, self.shapes
+        for w in tokens.difference(known):
+            of = shape(w)
+            x = shapes.get(of)
+            if x is None:
+                x = shapes[of] = tuple(self.lead[[b + v for b, v in zip(BASES, of)]].sum(0).tolist())
+            known[w] = x
+            if w.lower() in HINTS or not w.isalnum() and HINT.search(w):
+                self.hinting.add(w)
+        return known
+
     def spans(self, text: str) -> list[tuple[int, int]]:
-        runs = open_runs(text)
-        if not runs:
+        tokens, out = set(TOKEN.findall(text)), []
+        if not tokens:
+            return out
+        known = self.learn(tokens)
+        whole, hints = text_features(text), [] if self.hinting.isdisjoint(tokens) else [m.span() for m in HINT.finditer(text)]
+        base = self.whole[whole[0]][whole[1]]
+        place, marks = self.most_hints[bool(hints)], self.most_marks[bool(ASSIGNS.search(text))]
+        u, v = (base[k] + place[k] + marks[k] + self.by_tags[k] for k in (0, 1))
+        doubtful = {w: x for w in tokens if (x := known[w])[0] + u >= 0 or x[1] + v >= 0}
+        if not doubtful:
+            return out
+        u, v = base[0] + self.by_tags[0], base[1] + self.by_tags[1]
+        ends, begins = [z for _, z in hints], [a for a, _ in hints]
+        for run in open_runs(text):
+            at = last = None
+            emits: list[tuple[float, float, float]] = []
+            for i, (a, z) in enumerate(run):
+                x = doubtful.get(text[a:z])
+                if x is None:
+                    continue
+                m = self.marks[_mark(text[a - 1 : a])][_mark(text[z : z + 1])]
+                near = hints and (bisect(ends, a) > bisect_left(begins, a - 40) or bisect(ends, z + 40) > bisect_left(begins, z))
+                before, after = beside(text, a, z) if near else (6, 6)
+                h = self.hints[before][after]
+                p, q = x[0] + m[0] + h[0], x[1] + m[1] + h[1]
+                if p + u >= 0 or q + v >= 0:
+                    if at is not None and i > last + 1:
+                        out += self.decoded(run[at : last + 1], emits, at > 0, True)
+                        at = None
+                    if at is None:
+                        at, emits = i, []
+                    emits.append((0.0, p + base[0], q + base[1]))
+                    last = i
+            if at is not None:
+                out += self.decoded(run[at : last + 1], emits, at > 0, last + 1 < len(run))
+        return out
+
+    def decoded(self, tokens: list[tuple[int, int]], emits: list[tuple[float, float, float]], before: bool, after: bool) -> list[tuple[int, int]]:
+        """Spans of the best path; before, after: whether there is a token, outside, on that side."""
+        emit = np.array(emits)
+        if before:
+            emit[0] += self.trans[0]
+        if after:
+            emit[-1] += self.trans[:, 0]
+        if len(emits) == 1 and emit[0].argmax() == 0:
             return []
-        whole, out = text_features(text, sum(map(len, runs))), []
-        for run in runs:
-            emit = np.array([self.weights[observed(text, a, z, whole)].sum(0) for a, z in run])
-            start = None
-            for (a, z), tag in zip(run, viterbi(emit[None], self.trans, np.array([len(run)]))[0]):
-                if tag != 2 and start is not None:
-                    out.append(start)
-                    start = None
-                if tag == 1 or tag == 2 and start is None:
-                    start = (a, z)
-                elif tag == 2:
-                    start = (start[0], z)
-            if start is not None:
+        out: list[tuple[int, int]] = []
+        start = None
+        for (a, z), tag in zip(tokens, viterbi(emit[None], self.trans, np.array([len(tokens)]))[0]):
+            if tag != 2 and start is not None:
                 out.append(start)
-        return out
+                start = None
+            if tag == 1 or tag == 2 and start is None:
+                start = (a, z)
+            elif tag == 2:
+                start = (start[0], z)
+        return [*out, start] if start is not None else out
 
 
 LEADS = ("pwd: ", "passphrase ", "bearer ", "Authorization: Bearer ", "private key ", "credential=", "auth: '", "access ", "", "", "key is ")
@@ -162,26 +267,61 @@ def variants(text: str, seed: int = 0) -> list[tuple[str, Span]]:
     return out
 
 
+LETTERS = ("abcdefghijklmnopqrstuvwxyz", ALPHABETS[3][:26] + ALPHABETS[3][36:])
+
+
+def plainer(text: str, seed: int = 0) -> list[tuple[str, Span]]:
+    """As variants, with secrets of letters alone and, after a word that tells of them, short ones."""
+    out, draw = [], random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass")) + seed + 1)
+    for a, z, _ in base_spans(text)[:VARIANTS]:
+        short = draw.random() < 0.4
+        lead = draw.choice([x for x in LEADS if x] if short else LEADS)
+        secret = "".join(draw.choice(ALPHABETS[4 - draw.randrange(3)] if short else draw.choice(LETTERS[1:] * 2 + LETTERS[:1])) for _ in range(draw.randint(6, 12) if short else draw.randint(12, 36)))
+        at = a + len(lead)
+        out.append((text[:a] + lead + secret + ("'" if lead.endswith("'") else "") + text[z:], (at, at + len(secret), "crf")))
+    return out
+
+
+def values(text: str) -> list[Span]:
+    """The patterns' spans without the names that secrets are assigned to."""
+    return [(max(a, ASSIGN.match(text, a).start(2)) if k == "assign" else a, z, k) for a, z, k in base_spans(text)]
+
+
 def examples(text: str) -> list[tuple[list[list[int]], list[int]]]:
     """(features, tags) of runs, by the patterns' spans, and of the variants' runs."""
-    out = _examples(text, base_spans(text))
-    for other, span in variants(text):
-        out += _examples(other, [*base_spans(other), span], span)
+    base = values(text)
+    mark = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    out = _examples(text, base, mark if base or mark % PROSE == 0 else None)
+    for other, span in [*variants(text), *plainer(text)]:
+        out += _examples(other, [span, *values(other)], None, span)
     return out
 
 
-def _examples(text: str, spans: list[Span], near: Span | None = None) -> list[tuple[list[list[int]], list[int]]]:
+def _examples(text: str, spans: list[Span], prose: int | None, near: Span | None = None) -> list[tuple[list[list[int]], list[int]]]:
+    """Windows of RUN_TOKENS about tokens of spans and with digits (near: about this span alone), and one more by the number `prose`."""
     runs = open_runs(text)
-    whole, out = text_features(text, sum(map(len, runs))), []
-    if near:
-        runs = [r for r in runs if r[0][0] < near[1] and near[0] < r[-1][1]]
-    for i, run in enumerate(runs[:RUNS_A_TEXT]):
+    whole, out, starts = text_features(text), [], []
+    draw = random.Random(len(text))
+    hit = lambda a, z: next((s for s in spans if s[0] < z and a < s[1]), None)
+    for run in runs:
+        upto = 0
+        for i, (a, z) in enumerate(run):
+            if i >= upto and (a < near[1] and near[0] < z if near else DIGIT.search(text, a, z) or z - a > 5 and text[a:z].isupper() or spans and hit(a, z)):
+                start = max(0, upto, i - draw.randrange(4))
+                upto = start + RUN_TOKENS
+                starts.append((run, start, hit(a, z) is None))
+    starts.sort(key=lambda x: x[2])  # those of spans first
+    if prose is not None and runs:
+        run = runs[prose // PROSE % len(runs)]
+        starts.insert(0, (run, prose // 97 % len(run), True))
+    for i, (run, start, _) in enumerate(starts[:RUNS_A_TEXT]):
         tags, last = [], None
-        for a, z in run[:RUN_TOKENS]:
-            hit = next((s for s in spans if s[0] < z and a < s[1]), None)
-            tags.append(0 if hit is None else 2 if hit is last else 1)
-            last = hit
-        out.append(([observed(text, a, z, whole, plain=i % 2 == 1) for a, z in run[:RUN_TOKENS]], tags))
+        part = run[start : start + RUN_TOKENS]
+        for a, z in part:
+            now = hit(a, z)
+            tags.append(0 if now is None else 2 if now is last else 1)
+            last = now
+        out.append(([observed(text, a, z, whole, plain=i % 2 == 1) for a, z in part], tags))
     return out
 
 
@@ -198,12 +338,10 @@ def fit(data: list[tuple[list[list[int]], list[int]]]) -> Model:
         x[i, : len(y)], tags[i, : len(y)] = f, y
     t = int(lengths.max())
     x, tags = x[:, :t], tags[:, :t]
-    adam = Adam(params, 0.1)
+    adam, flat = Adam(params, 0.1), x.ravel()
     for _ in range(STEPS):
         _, d_emit, d_trans = gradients(params["w"][x].sum(2), params["t"], tags, lengths)
-        g = np.zeros_like(params["w"])
-        for j in range(len(SIZES)):
-            np.add.at(g, x[:, :, j].ravel(), d_emit.reshape(-1, 3))
+        g = np.stack([np.bincount(flat, np.repeat(d_emit[:, :, k].ravel(), len(SIZES)), FEATURES) for k in range(3)], 1)
         adam.step({"w": g + 1e-4 * params["w"], "t": d_trans + 1e-4 * params["t"]})
     return Model(params["w"], params["t"])
 
