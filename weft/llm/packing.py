@@ -82,7 +82,7 @@ class WordTokenizer:
         for w in words:
             if w in known:
                 continue
-            if m := self.tail.fullmatch(w):  # a word of letters, then marks: two words to the library's own splitting
+            if w[-1] in ".,!?;:" and (m := self.tail.fullmatch(w)):  # a word of letters, then marks: two words to the library's own splitting
                 split[w] = m.groups()
                 new.update(x for x in m.groups() if x not in known)
             else:
@@ -104,7 +104,7 @@ class WordTokenizer:
         words = set().union(*(s for s in split if s))
         if len(words) > self.kept:  # more distinct words than are kept: text by text
             return [self.whole(t or "") for t in texts] if len(texts) == 1 else [x for t in texts for x in self.encode([t])]
-        words.difference_update(self.known)
+        words = words.difference(self.known)  # looks up the words; difference_update would go through all that is known
         if words:
             full = len(self.known) + 3 * len(words) > self.kept
             if full:
