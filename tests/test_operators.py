@@ -191,3 +191,41 @@ def test_more_units_than_the_driver_takes_still_merge(spark, monkeypatch):
     inside = spark.createDataFrame([(i, f"b{i}", f"b{i}", ["p>q", f"p>r{i % 2}"]) for i in range(6)], "idx long, block_key string, unit_key string, tokens array<string>")
     monkeypatch.setattr(C, "cluster_blocks", lambda pages, keyed: inside)
     assert {(r.idx % 2, r.cluster_key) for r in C.cluster_pages(None, None, max_units=2).collect()} == {(0, "b0"), (1, "b1")}
+
+
+def shuffled_rows(spark):
+    """Rows that all stages until now have written for shuffles."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_pairs_of_equal_clusters_are_not_shuffled(spark):
+    # 300 clusters that share three token sets: 44,850 pairs
+    pages = spark.range(900).select(F.col("id").alias("idx"), F.concat(F.lit("c"), (F.col("id") % 300).cast("string")).alias("cluster_key"), F.array(F.concat(F.lit("t"), F.floor(F.col("id") / 300).cast("string"))).alias("tokens"))
+    before = shuffled_rows(spark)
+    P.cross_duplicates(pages).write.format("noop").mode("overwrite").save()
+    assert shuffled_rows(spark) - before < 20_000
+    assert P.cross_duplicates(pages).distinct().count() == P.cross_duplicates(pages).count() == 300 * 299 // 2
+
+
+def test_pairs_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(P, "PAIR_CHUNK", 3)
+    monkeypatch.setattr(P, "PAIR_CHUNKS", 2)
+    draw = random.Random(5)
+    rows = [(i, f"c{draw.randrange(60)}", [f"t{draw.randrange(40)}"]) for i in range(90)] + [(90 + i, f"d{i % 20}", [f"u{i % 2}", f"u{i % 2}"]) for i in range(60)]
+    rows += [(200, None, ["u0"]), (201, "e0", []), (202, "e1", []), (203, "e2", None), (204, "e3", ["u0", None]), (205, "e4", [None, "u0"]), (206, "lone", ["x"])]
+    pages = spark.createDataFrame(rows, "idx long, cluster_key string, tokens array<string>")
+    sets = {}
+    for _, c, tokens in rows:
+        if c and tokens:
+            sets.setdefault(c, set()).add(frozenset(tokens))
+    want = sorted((a, b) for a in sets for b in sets if a < b and sets[a] & sets[b])
+    got = P.cross_duplicates(pages).collect()
+    assert sorted((r.cluster_key_a, r.cluster_key_b) for r in got) == want and {(r.similarity, r.corroborated) for r in got} == {(1.0, False)}
+    roots = {}
+    for a, b in want * len(sets):
+        roots[a] = roots[b] = min(roots.get(a, a), roots.get(b, b))
+    merged = P.merged_partition(pages).collect()
+    assert {r.idx: r.cluster_key for r in merged} == {i: roots.get(c, c) for i, c, _ in rows} and len(merged) == len(rows)
+    assert P.cross_duplicates(pages.where("idx < 0")).count() == 0

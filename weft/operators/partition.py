@@ -12,6 +12,8 @@ from weft.functions import sets as S
 from weft.sources.tables import written
 
 COHESION_SAMPLE, SUSPICIOUS, CORROBORATED, MIN_SKELETONS, MAX_POSITION = 40, 0.75, 0.8, 3, 3
+#: Clusters of a class that are paired at once, at least; chunks into which a class goes, at most; pairs for which there is a task of their own.
+PAIR_CHUNK, PAIR_CHUNKS, PAIRS_A_TASK = 1024, 64, 2_000_000
 
 
 def set_similarity(a: Column, b: Column) -> Column:
@@ -60,22 +62,74 @@ def cohesion(pages: DataFrame) -> DataFrame:
 def cross_duplicates(pages: DataFrame, axis: tuple[int, list[str]] | None = None, threshold: float = CORROBORATED) -> DataFrame:
     """(cluster_key_a, cluster_key_b, similarity, corroborated): clusters that share a token set, or mirror pages under the axis.
 
-    Equal sets meet as (signature, cluster) pairs, not as pages; of mirror pages, which meet on their normalised path and hrefs, a cluster
-    has one row for each token set."""
-    signature = F.sha2(F.to_json(F.array_sort(F.array_distinct("tokens"))), 256)
-    rows = pages.where(F.size("tokens") > 0).select("cluster_key", signature.alias("sig")).distinct()
-    same = rows.alias("a").join(rows.alias("b"), (F.col("a.sig") == F.col("b.sig")) & (F.col("a.cluster_key") < F.col("b.cluster_key")))
-    out = same.select(F.col("a.cluster_key").alias("cluster_key_a"), F.col("b.cluster_key").alias("cluster_key_b"), F.lit(1.0).alias("similarity"), F.lit(False).alias("corroborated")).distinct()
-    if axis:
-        hrefs = F.sha2(F.to_json(F.array_sort(F.array_distinct(F.transform("stylesheetHrefs", lambda h: normalized_href(h, axis))))), 256)
-        m = pages.select("cluster_key", "tokens", normalized_path(F.col("paths"), axis).alias("path"), hrefs.alias("hrefs"), signature.alias("sig"))
-        m = m.groupBy("cluster_key", "path", "hrefs", "sig").agg(F.first("tokens").alias("tokens"))
-        pair = m.alias("a").join(m.alias("b"), (F.col("a.path") == F.col("b.path")) & (F.col("a.hrefs") == F.col("b.hrefs")) & (F.col("a.cluster_key") < F.col("b.cluster_key")))
-        close = pair.select(F.col("a.cluster_key").alias("cluster_key_a"), F.col("b.cluster_key").alias("cluster_key_b"), set_similarity(F.col("a.tokens"), F.col("b.tokens")).alias("similarity"), F.lit(True).alias("corroborated"))
-        out = out.unionByName(close.where(F.col("similarity") >= threshold))
+    Equal sets are paired by same_pairs(); of mirror pages, which meet on their normalised path and hrefs, a cluster has one row for
+    each token set."""
+    same = same_pairs(_signed(pages)).select("cluster_key_a", "cluster_key_b", F.lit(1.0).alias("similarity"), F.lit(False).alias("corroborated"))
+    if not axis:
+        return same
+    out = same.unionByName(_mirror_pairs(pages, axis, threshold))
     return out.groupBy("cluster_key_a", "cluster_key_b").agg(F.max(F.struct("similarity", "corroborated")).alias("m")).select("cluster_key_a", "cluster_key_b", "m.similarity", "m.corroborated")
 
 
+def _signature() -> Column:
+    return F.sha2(F.to_json(F.array_sort(F.array_distinct("tokens"))), 256)
+
+
+def _signed(pages: DataFrame) -> DataFrame:
+    return pages.where(F.size("tokens") > 0).select("cluster_key", _signature().alias("mark"))
+
+
+def _mirror_pairs(pages: DataFrame, axis: tuple[int, list[str]], threshold: float) -> DataFrame:
+    hrefs = F.sha2(F.to_json(F.array_sort(F.array_distinct(F.transform("stylesheetHrefs", lambda h: normalized_href(h, axis))))), 256)
+    m = pages.select("cluster_key", "tokens", normalized_path(F.col("paths"), axis).alias("path"), hrefs.alias("hrefs"), _signature().alias("sig"))
+    m = m.groupBy("cluster_key", "path", "hrefs", "sig").agg(F.first("tokens").alias("tokens"))
+    pair = m.alias("a").join(m.alias("b"), (F.col("a.path") == F.col("b.path")) & (F.col("a.hrefs") == F.col("b.hrefs")) & (F.col("a.cluster_key") < F.col("b.cluster_key")))
+    close = pair.select(F.col("a.cluster_key").alias("cluster_key_a"), F.col("b.cluster_key").alias("cluster_key_b"), set_similarity(F.col("a.tokens"), F.col("b.tokens")).alias("similarity"), F.lit(True).alias("corroborated"))
+    return close.where(F.col("similarity") >= threshold)
+
+
+def linked_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows: (cluster_key, mark). Gives members (cluster_key, class) and links (class, other): clusters are of one class if they have the
+    same marks, and classes are linked, both ways and each with itself, if they share a mark.
+
+    Marks of one cluster alone link nothing and are left out, as are clusters without others. A class is known by the number and 120 bits of the
+    sums modulo 2 of its marks' SHA-256, so that no cluster's marks are collected, and is named by its smallest cluster."""
+    rows = rows.where(F.col("cluster_key").isNotNull() & F.col("mark").isNotNull()).select("cluster_key", "mark").distinct()
+    shared = rows.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
+    rows = written(rows.join(shared, "mark", "left_semi"), "shared-marks")
+    word = lambda at: F.bit_xor(F.conv(F.substring(F.sha2("mark", 256), at, 15), 16, 10).cast("long"))
+    prints = rows.groupBy("cluster_key").agg(F.count("*").alias("n"), word(1).alias("x"), word(16).alias("y"))
+    names = prints.groupBy("n", "x", "y").agg(F.min("cluster_key").alias("class"))
+    members = written(prints.join(names, ["n", "x", "y"]).select("cluster_key", "class"), "class-members")
+    marks = rows.join(members.where("cluster_key = class"), "cluster_key").select("class", "mark")
+    links = marks.join(marks.withColumnRenamed("class", "other"), "mark").select("class", "other").distinct()
+    return members, links
+
+
+def same_pairs(rows: DataFrame) -> DataFrame:
+    """(cluster_key_a, cluster_key_b): the pairs, once each, of clusters that share a mark; rows: (cluster_key, mark).
+
+    Pairs are as many as there are; they come from pairs of linked classes, so none comes twice and none is shuffled. Classes are cut
+    into chunks, and a pair of chunks is what a task takes: its two lists of clusters are shuffled, at most PAIR_CHUNKS times for a cluster
+    and once more for each class linked to its own."""
+    spark = rows.sparkSession
+    members, links = linked_classes(rows)
+    chunk = max(PAIR_CHUNK, -(-members.count() // PAIR_CHUNKS))
+    sizes = members.groupBy("class").agg(F.count("*").alias("n")).withColumn("k", F.ceil(F.col("n") / chunk).cast("int"))
+    parts = members.join(sizes, "class").select("class", F.pmod(F.xxhash64("cluster_key"), F.col("k")).cast("int").alias("i"), "cluster_key")
+    others = sizes.select(F.col("class").alias("other"), F.col("n").alias("m"), F.col("k").alias("l"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    units = links.where("class <= other").join(sizes, "class").join(others, "other").withColumn("i", upto("k")).withColumn("j", upto("l"))
+    units = units.where("class < other or i <= j").withColumns({"unit": F.monotonically_increasing_id(), "pairs": F.col("n") * F.col("m") / (F.col("k") * F.col("l"))})
+    units = written(units.select("unit", "class", "i", "other", "j", "pairs"), "pair-units")
+    total = units.agg(F.count("*").alias("units"), F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("pairs")).first()
+    tasks = max(1, min(total["units"], max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total["pairs"] // PAIRS_A_TASK))))
+    within = ((F.col("class") == F.col("other")) & (F.col("i") == F.col("j"))).alias("within")
+    a = units.join(parts, ["class", "i"]).select("unit", within, F.col("cluster_key").alias("a")).repartition(tasks, "unit")
+    b = units.select("unit", F.col("other").alias("class"), F.col("j").alias("i")).join(parts, ["class", "i"]).select("unit", F.col("cluster_key").alias("b")).repartition(tasks, "unit")
+    return a.join(b, "unit").where("not within or a < b").select(F.least("a", "b").alias("cluster_key_a"), F.greatest("a", "b").alias("cluster_key_b"))
+
+
 def validated_merges(duplicates: DataFrame) -> dict[str, str]:
     """merged_keys() as a dictionary, for few clusters."""
     return {r.cluster_key: r.root for r in merged_keys(duplicates).toLocalIterator()}
@@ -148,8 +202,13 @@ def landmark_profiles(pages: DataFrame) -> DataFrame:
 
 
 def merged_partition(pages: DataFrame, axis: tuple[int, list[str]] | None = None, threshold: float = CORROBORATED) -> DataFrame:
-    """pages with cluster keys merged where clusters share token sets or mirror each other under the axis."""
-    roots = merged_keys(cross_duplicates(pages, axis, threshold))
+    """pages with cluster keys merged where clusters share token sets or mirror each other under the axis.
+
+    Clusters of one token set are linked to the smallest of them, which groups them as all their pairs would."""
+    signed = _signed(pages).where(F.col("cluster_key").isNotNull()).distinct()
+    links = signed.join(signed.groupBy("mark").agg(F.min("cluster_key").alias("first")), "mark").where("first < cluster_key")
+    links = links.select(F.col("first").alias("cluster_key_a"), F.col("cluster_key").alias("cluster_key_b"), F.lit(1.0).alias("similarity"), F.lit(False).alias("corroborated")).distinct()
+    roots = merged_keys(links.unionByName(_mirror_pairs(pages, axis, threshold)) if axis else links)
     return pages.join(roots, "cluster_key", "left").withColumn("cluster_key", F.coalesce("root", "cluster_key")).select(*pages.columns)
 
 
