@@ -193,19 +193,19 @@ def test_more_units_than_the_driver_takes_still_merge(spark, monkeypatch):
     assert {(r.idx % 2, r.cluster_key) for r in C.cluster_pages(None, None, max_units=2).collect()} == {(0, "b0"), (1, "b1")}
 
 
-def shuffled_rows(spark):
-    """Rows that all stages until now have written for shuffles."""
+def shuffled(spark, what):
+    """Rows or bytes that all stages until now have written for shuffles."""
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
-    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+    return sum(getattr(stages.apply(i), what)() for i in range(stages.size()))
 
 
 def test_pairs_of_equal_clusters_are_not_shuffled(spark):
     # 300 clusters that share three token sets: 44,850 pairs
     pages = spark.range(900).select(F.col("id").alias("idx"), F.concat(F.lit("c"), (F.col("id") % 300).cast("string")).alias("cluster_key"), F.array(F.concat(F.lit("t"), F.floor(F.col("id") / 300).cast("string"))).alias("tokens"))
-    before = shuffled_rows(spark)
+    before = shuffled(spark, "shuffleWriteRecords")
     P.cross_duplicates(pages).write.format("noop").mode("overwrite").save()
-    assert shuffled_rows(spark) - before < 20_000
+    assert shuffled(spark, "shuffleWriteRecords") - before < 20_000
     assert P.cross_duplicates(pages).distinct().count() == P.cross_duplicates(pages).count() == 300 * 299 // 2
 
 
@@ -229,3 +229,29 @@ def test_pairs_equal_brute_force(spark, monkeypatch):
     merged = P.merged_partition(pages).collect()
     assert {r.idx: r.cluster_key for r in merged} == {i: roots.get(c, c) for i, c, _ in rows} and len(merged) == len(rows)
     assert P.cross_duplicates(pages.where("idx < 0")).count() == 0
+
+
+def test_siblings_are_counted_without_lists(spark):
+    # clusters of one block, of several and of none, alone in a block, twice in one, without a key
+    draw = random.Random(6)
+    rows = [(i, f"c{draw.randrange(40)}", f"b{draw.randrange(9)}", ["t", f"u{i % 3}"]) for i in range(70)]
+    rows += [(100, "lone", "z", []), (101, "none", None, ["t"]), (102, "twice", "b1", ["t"]), (103, "twice", "b1", ["t", "t"]), (104, None, "b1", ["t"]), (105, "none", None, None)]
+    pages = spark.createDataFrame(rows, "idx long, cluster_key string, block_key string, tokens array<string>")
+    of = lambda c: {b for _, k, b, _ in rows if k == c and b}
+    want = {c: sorted({k for _, k, b, _ in rows if k and b in of(c)} - {c}) for c in {r[1] for r in rows} if c}
+    listed = {r.cluster_key: r for r in P.cluster_reasons(pages).collect()}
+    assert {c: r.siblings for c, r in listed.items()} == want | {None: []}
+    counted = {r.cluster_key: r for r in P.cluster_reason_counts(pages).collect()}
+    assert {c: r.n_siblings for c, r in counted.items()} == {c: len(r.siblings) for c, r in listed.items()}
+    assert all((counted[c].pages, counted[c].core_tokens) == (r.pages, r.core_tokens) for c, r in listed.items())
+
+
+def test_turn_reasons_shuffle_no_siblings(spark, tmp_path):
+    # 4,000 conversations of one word: five blocks of 800 clusters, 3.2 million siblings
+    from weft.plans import functions
+
+    spark.range(4000).select(F.col("id").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role"), F.lit("w").alias("text")).write.parquet(str(tmp_path / "conversations.parquet"))
+    before = shuffled(spark, "shuffleWriteBytes")
+    rows = functions.turn_reasons(spark, str(tmp_path)).collect()
+    assert shuffled(spark, "shuffleWriteBytes") - before < 2_000_000
+    assert len(rows) == 4000 and {(r.pages, r.core, r.first_token, r.siblings) for r in rows} == {(1, 1, "w", 799)}

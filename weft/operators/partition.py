@@ -154,17 +154,43 @@ def merged_keys(duplicates: DataFrame) -> DataFrame:
             return roots
 
 
-def cluster_reasons(pages: DataFrame) -> DataFrame:
-    """(cluster_key, pages, core_tokens, siblings): tokens in at least 80 % of the members, and the other clusters of its blocks."""
+def cluster_cores(pages: DataFrame) -> DataFrame:
+    """(cluster_key, pages, core_tokens): tokens in at least 80 % of the members."""
     sizes = pages.groupBy("cluster_key").agg(F.count("*").alias("pages"))
     counts = pages.select("cluster_key", F.explode(F.array_distinct("tokens")).alias("t")).groupBy("cluster_key", "t").count()
     core = counts.join(sizes, "cluster_key").where(F.col("count") >= 0.8 * F.col("pages") - S.EPSILON).groupBy("cluster_key").agg(F.array_sort(F.collect_list("t")).alias("core_tokens"))
-    of = pages.select("cluster_key", "block_key").distinct()
-    mates = of.groupBy("block_key").agg(F.collect_set("cluster_key").alias("mates"))  # clusters, once a block; not pairs of them
-    own = F.array(F.col("cluster_key"))
-    sib = of.join(mates, "block_key").groupBy("cluster_key").agg(F.array_distinct(F.flatten(F.collect_list("mates"))).alias("all")).select("cluster_key", F.array_sort(F.array_except("all", own)).alias("siblings"))
-    empty = F.array().cast("array<string>")
-    return sizes.join(core, "cluster_key", "left").join(sib, "cluster_key", "left").withColumns({"core_tokens": F.coalesce("core_tokens", empty), "siblings": F.coalesce("siblings", empty)})
+    return sizes.join(core, "cluster_key", "left").withColumn("core_tokens", F.coalesce("core_tokens", F.array().cast("array<string>")))
+
+
+def _block_classes(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """linked_classes() by blocks: the clusters of a class, and of those linked to it, are siblings."""
+    return linked_classes(pages.select("cluster_key", F.col("block_key").alias("mark")))
+
+
+def cluster_reason_counts(pages: DataFrame) -> DataFrame:
+    """(cluster_key, pages, core_tokens, n_siblings): cluster_reasons() with the number of siblings. Classes of clusters with the same blocks
+    are counted, so that no cluster's siblings, which may be most of the clusters, are listed."""
+    members, links = _block_classes(pages)
+    sizes = members.groupBy(F.col("class").alias("other")).agg(F.count("*").alias("n"))
+    near = links.join(sizes, "other").groupBy("class").agg((F.sum("n") - 1).alias("n_siblings"))
+    counts = members.join(near, "class").select("cluster_key", "n_siblings")
+    return cluster_cores(pages).join(counts, "cluster_key", "left").withColumn("n_siblings", F.coalesce("n_siblings", F.lit(0).cast("long")))
+
+
+def _sibling_lists(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(class, all): the clusters of a class and of the classes linked to it, sorted, once a class."""
+    return links.join(members.withColumnRenamed("class", "other"), "other").groupBy("class").agg(F.array_sort(F.collect_list("cluster_key")).alias("all"))
+
+
+def cluster_reasons(pages: DataFrame) -> DataFrame:
+    """(cluster_key, pages, core_tokens, siblings): tokens in at least 80 % of the members, and the other clusters of its blocks.
+
+    Siblings are in all as many as the pairs of clusters of a block; they are joined last, from one list a class, and aren't shuffled.
+    cluster_reason_counts() has their number."""
+    members, links = _block_classes(pages)
+    found = cluster_cores(pages).join(members, "cluster_key", "left").join(_sibling_lists(members, links), "class", "left")
+    siblings = F.coalesce(F.array_remove("all", F.col("cluster_key")), F.array().cast("array<string>"))
+    return found.select("cluster_key", "pages", "core_tokens", siblings.alias("siblings"))
 
 
 def landmark_variants(pages: DataFrame, kind: str) -> DataFrame:
@@ -228,8 +254,10 @@ def reasons_report(pages: DataFrame) -> dict:
     blocks = pages.groupBy("cluster_key").agg(F.array_sort(F.collect_set(F.struct("block_key", "reason"))).alias("blocks"))
     marks = landmark_profiles(pages).groupBy("cluster_key").agg(F.array_sort(F.collect_list(F.struct("type", "presence_rate", "chrome_rate", "shell_tokens", "members_with"))).alias("marks"))
     out = {}
-    for r in cluster_reasons(pages).join(blocks, "cluster_key").join(marks, "cluster_key", "left").orderBy("cluster_key").toLocalIterator():
+    members, links = _block_classes(pages)
+    mates = {r["class"]: r["all"] for r in _sibling_lists(members, links).toLocalIterator()}
+    for r in cluster_cores(pages).join(members, "cluster_key", "left").join(blocks, "cluster_key").join(marks, "cluster_key", "left").orderBy("cluster_key").toLocalIterator():
         landmarks = {m.type: {"presenceRate": m.presence_rate, "chromeRate": m.chrome_rate, "shellTokens": m.shell_tokens, "memberCountWithInstance": m.members_with} for m in r.marks or []}
         blocking = [{"blockKey": b.block_key, "reason": {k: v for k, v in b.reason.asDict().items() if v is not None}} for b in r.blocks]
-        out[r.cluster_key] = {"memberCount": r.pages, "blocking": blocking, "structuralCoreTokens": r.core_tokens, "landmarks": landmarks, "siblingClusterKeys": r.siblings}
+        out[r.cluster_key] = {"memberCount": r.pages, "blocking": blocking, "structuralCoreTokens": r.core_tokens, "landmarks": landmarks, "siblingClusterKeys": [k for k in mates.get(r["class"], ()) if k != r.cluster_key]}
     return out

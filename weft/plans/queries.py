@@ -374,7 +374,7 @@ def template_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def cluster_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = written(_clusters(spark, sf_dir), "found-clusters")
-    reasons = P.cluster_reasons(found).select("cluster_key", F.size("core_tokens").alias("core_tokens"), F.size("siblings").alias("siblings"))
+    reasons = P.cluster_reason_counts(found).select("cluster_key", F.size("core_tokens").alias("core_tokens"), F.col("n_siblings").cast("int").alias("siblings"))
     return P.cohesion(found).join(reasons, "cluster_key")
 
 
